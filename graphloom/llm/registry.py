@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_extract, langid, licenses, quality, sharding, url_filter
+from . import html_extract, langid, licenses, packing, quality, sentencepiece_bpe, sharding, url_filter
 
-_MODULES = (langid, quality, sharding, licenses, html_extract, url_filter)
+_MODULES = (langid, sentencepiece_bpe, packing, sharding, quality, licenses, html_extract, url_filter)
 
 
 def queries() -> dict:
