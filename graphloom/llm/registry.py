@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_extract, langid, licenses, packing, quality, sentencepiece_bpe, sharding, simhash, url_filter
+from . import html_extract, langid, licenses, packing, quality, sentencepiece_bpe, sharding, simhash, url_filter, winnowing
 
-_MODULES = (langid, sentencepiece_bpe, simhash, packing, sharding, quality, licenses, html_extract, url_filter)
+_MODULES = (langid, sentencepiece_bpe, winnowing, simhash, packing, sharding, quality, licenses, html_extract, url_filter)
 
 
 def queries() -> dict:
