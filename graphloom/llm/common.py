@@ -25,16 +25,18 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the shared folder of ``spark.checkpoint.dir``.
-
-    A lost executor loses nothing of it. Where the session names no folder, as
-    in tests, one is made on this machine.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where the session names none, as in tests, one on this machine."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "graphloom-checkpoints"))
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints", "graphloom"))
+    return sc.getCheckpointDir()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in :func:`shared_folder`, so that a lost executor loses nothing of it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
