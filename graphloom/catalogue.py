@@ -5,17 +5,354 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import patterns as P
+from .operators import graph as G
+from .operators import maintenance as M
+from .operators import relational as R
+from .plans.projections import duckdb_sql, view
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    """Register a function of a loader ``t`` (name to DataFrame), with SQL over the projections."""
+
+    def register(f):
+        name = f.__name__.removeprefix("q_")
+        _QUERIES[name] = lambda spark, d, f=f: f(lambda n: view(spark, d, n))
+        if sql:
+            _ORACLES[name] = duckdb_sql(sql)
+        return f
+
+    return register
+
+
+# Listings and filters
+
+
+@_query("SELECT id, kind, name, qname FROM {symbols} WHERE kind <> 'external' AND qname ILIKE 'nation$_1%.customer#0000000%' ESCAPE '$' ORDER BY qname, id")
+def q_f1_symbols_glob(t):
+    return R.symbols(t("symbols"), qname="nation_1*.customer#0000000*").select("id", "kind", "name", "qname")
+
+
+@_query("SELECT id, qname FROM {symbols} WHERE kind = 'external' AND name LIKE '%a%'")
+def q_f1_symbols_kind(t):
+    return R.symbols(t("symbols"), kind="external", name="*a*").where(F.col("name").contains("a")).select("id", "qname")
+
+
+@_query("SELECT id, qname FROM {symbols} WHERE qname = 'ASIA.NATION_2'")
+def q_f2_symbol_exact(t):
+    return R.symbols(t("symbols"), qname="ASIA.NATION_2", include_external=True).select("id", "qname")
+
+
+@_query("SELECT id, qname FROM {symbols} WHERE kind <> 'external' AND (qname > 'orders.o5' OR (qname = 'orders.o5' AND id > 10000005)) ORDER BY qname, id LIMIT 50")
+def q_f3_keyset_page(t):
+    return R.symbols(t("symbols"), after=("orders.o5", 10000005), limit=50).select("id", "qname")
+
+
+@_query("SELECT path, language, size_bytes FROM {files} WHERE language = 'de' AND path ILIKE 'SRC1%/%'")
+def q_f4_files(t):
+    return R.files(t("files"), language="de", path="SRC1*/*").select("path", "language", "size_bytes")
+
+
+@_query("""SELECT e.id, e.kind, e.framework, e.route, s.qname AS handler, coalesce(p.params, '') AS params
+FROM {entrypoints} e JOIN {symbols} s ON s.id = e.symbol_id
+LEFT JOIN (SELECT entrypoint_id, string_agg(name, ',' ORDER BY id) AS params FROM {params} GROUP BY 1) p ON p.entrypoint_id = e.id
+WHERE e.route LIKE '/en/%'""")
+def q_f6_entrypoints(t):
+    out = R.entrypoints(t("entrypoints"), t("symbols"), t("params"), route="/en/*")
+    return out.select("id", "kind", "framework", "route", "handler", F.array_join("params", ",").alias("params"))
+
+
+@_query("SELECT id, confidence, via FROM {hops} WHERE confidence >= 2 AND via IS DISTINCT FROM 'cha'")
+def q_f10_edge_filter(t):
+    return t("hops").where(R.usable(floor=2)).select("id", "confidence", "via")
+
+
+@_query("""SELECT id, regexp_matches(arg_preview, '^\\(?\\s*(?:(?:"[^"]*"|[0-9]+)(?:\\s*,\\s*(?:"[^"]*"|[0-9]+))*)?\\s*\\)?$') AS constant,
+CASE WHEN regexp_matches(arg_preview, '"[^"]*"') THEN regexp_extract(arg_preview, '"([^"]*)"', 1) END AS source_key FROM {edges}""")
+def q_f12_constant_args(t):
+    return t("edges").select("id", P.constant_args(F.col("arg_preview")).alias("constant"), P.first_string_arg(F.col("arg_preview")).alias("source_key"))
+
+
+# Joins
+
+
+@_query("SELECT s.id, s.qname, f.path, p.qname AS parent_qname FROM {symbols} s LEFT JOIN {files} f ON f.id = s.file_id LEFT JOIN {symbols} p ON p.id = s.parent_id")
+def q_j1_j4_symbols_files_parents(t):
+    return R.with_parent(R.with_file(t("symbols"), t("files"))).select("id", "qname", "path", "parent_qname")
+
+
+@_query("SELECT e.src, s.qname, e.dst FROM {symbols} s JOIN {edges} e ON e.src = s.id AND e.kind IN ('inherits', 'implements')")
+def q_j5_bases(t):
+    e = t("edges").where(F.col("kind").isin("inherits", "implements"))
+    return e.join(t("symbols").select(F.col("id").alias("src"), "qname"), "src").select("src", "qname", "dst")
+
+
+@_query("""SELECT e.id, e.kind, e.dst, coalesce(s.qname, '?') AS src_qname FROM {edges} e LEFT JOIN {symbols} s ON s.id = e.src
+WHERE e.dst IN (SELECT id FROM {symbols} WHERE kind = 'class')""")
+def q_j7_references(t):
+    return R.references(t("edges"), t("symbols"), t("symbols").where("kind = 'class'")).select("id", "kind", "dst", "src_qname")
+
+
+_PATTERNS = (
+    ("py.misty", "py:*.{small, blue} *", "sql", "high", None),
+    ("py.brand", "py:Brand#1?.*", "command_exec", None, None),
+    ("py.any", "py:*a*e*", "file_write", "low", None),
+    ("any.z", "*[xyz]*", "code_eval", "critical", None),
+)
+_CATALOG_SQL = """(SELECT * FROM (VALUES ('py.misty', 0, '^py:.*\\.(small|blue) .*$', 'sql', 'high'), ('py.brand', 1, '^py:Brand#1.\\..*$', 'command_exec', 'medium'),
+('py.any', 2, '^py:.*a.*e.*$', 'file_write', 'low'), ('any.z', 3, '^.*[xyz].*$', 'code_eval', 'critical')) c(pattern_id, ord, rx, category, severity))"""
+
+
+def _catalog(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(R.catalog_rows(_PATTERNS), R.CATALOG_SCHEMA)
+
+
+@_query(f"""SELECT qname, pattern_id, category, severity FROM (SELECT s.qname, c.*, row_number() OVER (PARTITION BY s.qname ORDER BY ord) AS rn
+FROM (SELECT DISTINCT qname FROM {{symbols}} WHERE kind = 'external') s JOIN {_CATALOG_SQL} c ON regexp_matches(s.qname, c.rx)) WHERE rn = 1""".replace("{{symbols}}", "{symbols}"))
+def q_j10_catalog_match(t):
+    s = t("symbols").where("kind = 'external'")
+    return R.first_match(s, _catalog(s.sparkSession), "qname")
+
+
+@_query("""SELECT p.name, p.location, count(e.id) AS flows FROM {params} p LEFT JOIN {entrypoints} e ON e.id = p.entrypoint_id AND e.kind = 'http_route' GROUP BY 1, 2""")
+def q_j13_param_flows(t):
+    e = t("entrypoints").where("kind = 'http_route'").select(F.col("id").alias("entrypoint_id"), F.lit(1).alias("flow"))
+    return t("params").join(e, "entrypoint_id", "left").groupBy("name", "location").agg(F.count("flow").alias("flows"))
+
+
+@_query("""SELECT e.id, s.id AS span_id FROM (SELECT id, src % 50 + 1 AS file_id, line FROM {hops}) e
+JOIN {symbols} s ON s.file_id = e.file_id AND s.kind = 'function' AND s.start_line <= e.line AND e.line <= s.end_line""")
+def q_j16_span_containment(t):
+    points = t("hops").select("id", (F.col("src") % 50 + 1).alias("file_id"), "line")
+    return R.contained(points, t("symbols").where("kind = 'function'")).select("id", "span_id")
+
+
+@_query("""SELECT e.id, arg_max(s.id, struct_pack(a := s.end_line, b := s.id)) AS block_id FROM (SELECT id, src % 50 + 1 AS file_id, line FROM {hops}) e
+JOIN {symbols} s ON s.file_id = e.file_id AND s.kind = 'function' AND s.end_line <= e.line AND e.line - s.end_line <= 2 GROUP BY 1""")
+def q_j17_nearest_block(t):
+    points = t("hops").select("id", (F.col("src") % 50 + 1).alias("file_id"), "line")
+    return R.nearest_preceding(points, t("symbols").where("kind = 'function'"), "id", 2)
+
+
+@_query("""SELECT e.id, arg_min(s.id, struct_pack(a := s.end_line - s.start_line, b := s.id)) AS span_id FROM (SELECT id, src % 50 + 1 AS file_id, line FROM {hops}) e
+JOIN {symbols} s ON s.file_id = e.file_id AND s.kind IN ('function', 'method', 'class') AND s.start_line <= e.line AND e.line <= s.end_line GROUP BY 1""")
+def q_j18_smallest_enclosing(t):
+    points = t("hops").select("id", (F.col("src") % 50 + 1).alias("file_id"), "line")
+    return R.smallest_enclosing(points, t("symbols").where(F.col("kind").isin("function", "method", "class")))
+
+
+# Aggregates
+
+
+@_query("""SELECT (SELECT count(*) FROM {files}) AS files, (SELECT count(*) FROM {symbols}) AS symbols, count(*) AS edges, count(dst) AS resolved,
+count(sink_id) AS sinks, count(source_id) AS sources, (SELECT count(*) FROM {entrypoints}) AS entrypoints FROM {edges}""")
+def q_g1_stats(t):
+    return R.stats(t("files"), t("symbols"), t("edges"), t("entrypoints"))
+
+
+@_query("""SELECT language, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, round(100 * sum(size_bytes) / greatest(sum(sum(size_bytes)) OVER (), 1), 2) AS percent FROM {files} GROUP BY 1""")
+def q_g2_language_profile(t):
+    return R.language_profile(t("files"))
+
+
+@_query("""SELECT framework, round(1 - list_reduce(list_prepend(1.0::DOUBLE, list_sort(list(w))), lambda a, x: a * (1 - x)), 3) AS confidence, count(*) AS signals
+FROM (SELECT DISTINCT 'f' || CAST(id % 40 AS STRING) AS framework, id % 7 AS k, (id % 7) / 10.0::DOUBLE AS w FROM {entrypoints}) GROUP BY 1 HAVING confidence >= 0.5""")
+def q_g3_noisy_or(t):
+    e = t("entrypoints").select(F.concat(F.lit("f"), F.col("id") % 40).alias("framework"), (F.col("id") % 7).alias("k"), ((F.col("id") % 7) / F.lit(10.0)).alias("w")).distinct()
+    return R.noisy_or(e, "framework", "w")
+
+
+@_query("SELECT name, min(id) AS id FROM {symbols} WHERE kind IN ('method', 'function') GROUP BY name HAVING count(*) = 1")
+def q_g9_unique_by_name(t):
+    return R.unique_by_name(t("symbols"), ["method", "function"])
+
+
+@_query("""SELECT f.repo_id, count(*) AS files, count(DISTINCT language) AS languages, CAST(sum(size_bytes) AS BIGINT) AS bytes, count(skip_reason) AS skipped FROM {files} f GROUP BY 1""")
+def q_g11_repo_rollup(t):
+    return t("files").groupBy("repo_id").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("language").alias("languages"), F.sum("size_bytes").alias("bytes"), F.count("skip_reason").alias("skipped"))
+
+
+@_query("""SELECT src, min(id) AS id FROM (SELECT *, row_number() OVER (PARTITION BY src, kind ORDER BY confidence DESC, line, id) AS rn FROM {hops}) WHERE rn = 1 GROUP BY src""")
+def q_r4_best_first(t):
+    best = R.best_first(t("hops"), ["src", "kind"], [F.desc("confidence"), F.col("line"), F.col("id")])
+    return best.groupBy("src").agg(F.min("id").alias("id"))
+
+
+@_query("SELECT src, id FROM (SELECT src, id, row_number() OVER (PARTITION BY src ORDER BY id) AS rn FROM {hops}) WHERE rn <= 8")
+def q_r8_cap(t):
+    return R.first_of_each(t("hops").select("src", "id"), ["src"], [F.col("id")], 8)
+
+
+# Maintenance
+
+
+@_query("""SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.content_hash = b.content_hash THEN 'unchanged' ELSE 'changed' END AS change
+FROM (SELECT path, content_hash FROM {files} WHERE id % 5 <> 0) a FULL OUTER JOIN (SELECT path, CASE WHEN id % 4 = 0 THEN 'x' ELSE content_hash END AS content_hash FROM {files} WHERE id % 7 <> 0) b ON a.path = b.path""")
+def q_a8_file_diff(t):
+    known = t("files").where("id % 5 <> 0")
+    found = t("files").where("id % 7 <> 0").withColumn("content_hash", F.when(F.col("id") % 4 == 0, "x").otherwise(F.col("content_hash")))
+    return M.file_diff(known, found)
+
+
+_DEAD = "(SELECT id FROM {symbols} WHERE file_id % 9 = 0)"
+
+
+@_query(f"SELECT id, src, CASE WHEN dst NOT IN {_DEAD} THEN dst END AS dst FROM {{edges}} WHERE src NOT IN {_DEAD}".replace("{{", "{").replace("}}", "}"))
+def q_w3_wipe_files(t):
+    dead = t("symbols").where("file_id % 9 = 0").select(F.col("file_id").alias("id")).distinct()
+    return M.wipe_files(t("symbols"), t("edges"), dead)[1].select("id", "src", "dst")
+
+
+_PARTS = "SELECT 'py:p' || CAST(p_partkey AS STRING) AS qname, p_partkey + 5000000 AS id FROM {part} WHERE p_size > 25"
+
+
+@_query(f"""SELECT e.id, coalesce(e.dst, s.id) AS dst, CASE WHEN e.dst IS NULL AND s.id IS NOT NULL AND e.confidence = 0 THEN 2 ELSE e.confidence END AS confidence
+FROM {{edges}} e LEFT JOIN ({_PARTS}) s ON e.dst IS NULL AND s.qname = e.dst_qname""".replace("{{", "{").replace("}}", "}"))
+def q_w5_heal(t):
+    parts = t("part").where("p_size > 25").select(F.concat(F.lit("py:p"), F.col("p_partkey")).alias("qname"), (F.col("p_partkey") + 5000000).alias("id"))
+    return M.heal(t("edges"), parts).select("id", "dst", "confidence")
+
+
+@_query("SELECT id, kind FROM {symbols} s WHERE kind <> 'external' OR id IN (SELECT l_partkey + 5000000 FROM {lineitem} WHERE l_quantity > 49)")
+def q_w6_collect_orphans(t):
+    into = t("lineitem").where("l_quantity > 49").select((F.col("l_partkey") + 5000000).alias("dst"))
+    return M.collect_orphans(t("symbols"), into).select("id", "kind")
+
+
+@_query("""SELECT name, confidence FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY confidence DESC, n DESC) AS rn FROM (
+SELECT p_brand AS name, round(max(p_size) / 60.0::DOUBLE, 2) AS confidence, 0 AS n FROM {part} GROUP BY 1 UNION ALL SELECT p_brand, round(min(p_retailprice) / 2000, 2), 1 FROM {part} GROUP BY 1)) WHERE rn = 1""")
+def q_w7_merge_detections(t):
+    p = t("part").groupBy(F.col("p_brand").alias("name"))
+    old = p.agg(F.round(F.max("p_size") / F.lit(60.0), 2).alias("confidence"))
+    return M.merge_detections(old, p.agg(F.round(F.min("p_retailprice") / 2000, 2).alias("confidence")))
+
+
+@_query("""SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY kind, src, dst_qname, line, sink_id, via ORDER BY id) AS rn FROM
+(SELECT id, kind, src % 100 AS src, substr(dst_qname, 1, 4) AS dst_qname, line, sink_id, via FROM {edges})) WHERE rn = 1""")
+def q_w8_edge_dedup(t):
+    e = t("edges").withColumn("src", F.col("src") % 100).withColumn("dst_qname", F.substring("dst_qname", 1, 4))
+    return M.dedup_edges(e).select("id")
+
+
+@_query("SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) + 500 AS id FROM {customer}")
+def q_w2_allocate_ids(t):
+    return M.with_ids(t("customer").select("c_custkey", "c_name"), ["c_name", "c_custkey"], 500).select("c_custkey", "id")
+
+
+# Traversal
+
+_CALLS = "SELECT DISTINCT src, dst FROM {hops} WHERE kind = 'calls' AND confidence >= 1 AND via IS DISTINCT FROM 'cha'"
+
+
+def _hops(t):
+    return G.adjacency(t("hops"))
+
+
+def _ids(t, *ids):
+    return t("hops").sparkSession.createDataFrame([(i,) for i in ids], "id bigint")
+
+
+@_query(f"""WITH RECURSIVE w(id, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT c.dst, w.depth + 1 FROM w JOIN ({_CALLS}) c ON c.src = w.id WHERE w.depth < 2)
+SELECT id, min(depth) AS depth FROM w WHERE id <> 7 GROUP BY id""")
+def q_p1_neighborhood(t):
+    return G.neighborhood(_ids(t, 7), _hops(t), 2)
+
+
+@_query(f"SELECT DISTINCT src AS id, 1 AS depth FROM ({_CALLS}) WHERE dst = 9 AND src <> 9")
+def q_p2_callers(t):
+    return G.callers(_ids(t, 9), _hops(t))
+
+
+@_query(f"SELECT DISTINCT dst AS id, 1 AS depth FROM ({_CALLS}) WHERE src = 9 AND dst <> 9")
+def q_p3_callees(t):
+    return G.callees(_ids(t, 9), _hops(t))
+
+
+@_query(f"""WITH RECURSIVE w(id, depth) AS (SELECT 5::BIGINT, 0 UNION SELECT c.src, w.depth + 1 FROM w JOIN ({_CALLS}) c ON c.dst = w.id WHERE w.depth < 3)
+SELECT DISTINCT id FROM w""")
+def q_p5_reachable(t):
+    return G.reachable(_hops(t).select(F.col("src").alias("id")).union(_hops(t).select("dst")), _ids(t, 5), _hops(t), 3)
+
+
+_FLOW = "SELECT id, src, dst, sink_id, confidence FROM {edges} WHERE dst IS NOT NULL AND kind IN ('calls', 'inherits') AND confidence >= 1 AND via IS DISTINCT FROM 'cha'"
+_SOURCES = "SELECT c_custkey + 1000000 AS id FROM {customer} WHERE c_mktsegment = 'BUILDING'"
+_PATHS = f"""WITH RECURSIVE e AS ({_FLOW}), w(nodes, edge_ids, node, sink_id, low) AS (
+SELECT [e.src, e.dst], [e.id], e.dst, e.sink_id, e.confidence FROM e JOIN ({_SOURCES}) s ON s.id = e.src WHERE e.src <> e.dst
+UNION ALL SELECT list_append(w.nodes, e.dst), list_append(w.edge_ids, e.id), e.dst, e.sink_id, least(w.low, e.confidence)
+FROM w JOIN e ON e.src = w.node WHERE NOT list_contains(w.nodes, e.dst) AND len(w.edge_ids) < 4 AND NOT (w.node BETWEEN 100 AND 124)),
+p AS (SELECT * FROM w WHERE node BETWEEN 100 AND 124 AND sink_id IS NOT NULL)"""
+
+
+def _flow(t):
+    return G.adjacency(t("edges"), ("calls", "inherits"))
+
+
+def _flow_paths(t):
+    sources = t("customer").where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") + 1000000).alias("id"))
+    sinks = t("symbols").where("kind = 'class'").select("id")
+    return G.simple_paths(sources, sinks, _flow(t), 4, F.col("sink_id").isNotNull())
+
+
+@_query(_PATHS + " SELECT array_to_string(nodes, '>') AS nodes, array_to_string(edge_ids, '>') AS edge_ids FROM p")
+def q_p6_paths(t):
+    join = lambda c: F.array_join(F.col(c).cast("array<string>"), ">").alias(c)
+    return _flow_paths(t).select(join("nodes"), join("edge_ids"))
+
+
+_RANKED = """, r AS (SELECT nodes, edge_ids, len(nodes) AS n_nodes, low AS min_confidence, sink_id,
+CASE sink_id WHEN 'py.command-exec.os' THEN 'high' ELSE 'medium' END AS severity FROM p)
+SELECT array_to_string(nodes, '>') AS nodes, array_to_string(edge_ids, '>') AS edge_ids, CAST(n_nodes AS INT) AS n_nodes, min_confidence, sink_id, severity FROM r
+ORDER BY CASE severity WHEN 'high' THEN 1 ELSE 2 END, min_confidence DESC, n_nodes, r.nodes, r.edge_ids LIMIT 10"""
+
+
+@_query(_PATHS + _RANKED)
+def q_r1_ranked_paths(t):
+    rows = G.described(_flow_paths(t), t("edges")).withColumn("severity", F.when(F.col("sink_id") == "py.command-exec.os", "high").otherwise("medium"))
+    join = lambda c: F.array_join(F.col(c).cast("array<string>"), ">").alias(c)
+    return G.ranked(rows, 10).select(join("nodes"), join("edge_ids"), "n_nodes", "min_confidence", "sink_id", "severity")
+
+
+@_query(_PATHS + """, o AS (SELECT DISTINCT src FROM {edges} WHERE dst IS NOT NULL AND kind IN ('calls', 'inherits') AND (confidence < 1 OR via IN ('cha', 'dynamic')))
+SELECT array_to_string(edge_ids, '>') AS edge_ids, len(list_filter(nodes, lambda n: n IN (SELECT src FROM o))) > 0 AS may_continue FROM p""".replace("len(list_filter(nodes, lambda n: n IN (SELECT src FROM o))) > 0", "EXISTS (SELECT 1 FROM o WHERE list_contains(p.nodes, o.src))"))
+def q_p15_may_continue(t):
+    out = G.may_continue(_flow_paths(t), t("edges"), ("calls", "inherits"))
+    return out.select(F.array_join(F.col("edge_ids").cast("array<string>"), ">").alias("edge_ids"), "may_continue")
+
+
+_PARENTS = "SELECT id, parent_id AS parent FROM {symbols} WHERE parent_id IS NOT NULL"
+
+
+@_query(f"""WITH RECURSIVE w(id, ancestor, depth) AS (SELECT id, parent, 1 FROM ({_PARENTS}) UNION ALL
+SELECT w.id, p.parent, w.depth + 1 FROM w JOIN ({_PARENTS}) p ON p.id = w.ancestor WHERE w.depth < 10)
+SELECT id, ancestor, min(depth) AS depth FROM w GROUP BY 1, 2""")
+def q_p19_ancestors(t):
+    return G.ancestors(t("symbols").select("id", F.col("parent_id").alias("parent")))
+
+
+@_query("""WITH m AS (SELECT c_custkey AS id, c_mktsegment || CAST(c_custkey % 60 AS STRING) AS name, c_nationkey AS owner, n_regionkey FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey),
+s AS (SELECT * FROM m WHERE name IN (SELECT name FROM m GROUP BY name HAVING count(*) BETWEEN 2 AND 64)),
+k AS (SELECT DISTINCT a.name, a.id FROM s a JOIN s b ON a.name = b.name AND a.id <> b.id AND a.n_regionkey = b.n_regionkey)
+SELECT name, id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS rn FROM k) WHERE rn <= 8""")
+def q_p20_hierarchy_candidates(t):
+    methods = t("customer").select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", (F.col("c_custkey") % 60).cast("string")).alias("name"), F.col("c_nationkey").alias("owner"))
+    closure = G.ancestors(t("nation").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") + 1000).alias("parent")))
+    return G.hierarchy_candidates(methods, closure)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The ten best source-to-sink paths."""
+    return _QUERIES["r1_ranked_paths"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
