@@ -115,7 +115,9 @@ def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: the documents that the rules and their host's verdict keep."""
     cols = docs.columns
-    return judged(docs, tuple(cols)).where("kept").select(*cols)
+    own = [f"c{i}" for i in range(len(cols))]  # a column of the documents may bear any name
+    renamed = docs.select(*[F.col(c).alias(o) for c, o in zip(cols, own)], "text", "source")
+    return judged(renamed, (*own, "source")).where("kept").select(*[F.col(o).alias(c) for c, o in zip(cols, own)])
 
 
 QUERIES = {"op7_host_quality": op7_host_quality}
