@@ -6,6 +6,9 @@ bits whose vector has odd product with v. For any r differing bits some v is
 orthogonal to all their vectors, so every pair within r bits agrees in some
 table. A bucket of very many different fingerprints is covered again over its
 free bits, until so few are free that it must be small.
+
+The pipeline's stage covers SimHashes of the texts' words in the same way and
+compares the shingles of texts that meet.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, reliable, table
 
 BITS, RADIUS, WORDS = 64, 4, 4
-#: The pipeline's stage, as its contract says: five words.
-STAGE_WORDS = 5
+#: The pipeline's stage: shingles of five words, a similarity of 0.8; its words' SimHashes may differ in so many bits.
+STAGE_WORDS, LIKE, STAGE_RADIUS = 5, 0.8, 6
+#: Shingle hashes that a text is compared by; texts in a block; keys that are sent to every executor.
+SKETCH, BLOCK, BROADCAST_KEYS = 512, 1024, 100_000
 #: A bucket of more fingerprints is covered again.
 BUCKET = 4096
 _MASK = (1 << 64) - 1
@@ -210,18 +215,143 @@ def op4_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def word_print(text: bytes) -> tuple[int, int]:
+    """(SimHash of the different words of a text, hash of its sequence of words), both 0 without a word."""
+    parts = text.lower().split()
+    if not parts:
+        return 0, 0
+    words = set(parts)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(words), bitorder="little").view("<u8")[0]), xxhash.xxh64_intdigest(b" ".join(parts), 1)
+
+
+def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [word_print(t or b"") for t in b.column("__text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([_signed(g[k]) for g in got], pa.int64()) for k in (0, 1))], ["doc_id", "__fp", "__same"])
+
+
+def sketch(text: bytes, words: int = STAGE_WORDS, most: int = SKETCH) -> tuple[np.ndarray, int]:
+    """(the ``most`` least 32-bit hashes of a text's different shingles in order, number of different ones)."""
+    parts = text.lower().split()
+    if len(parts) <= words:
+        h = np.array([xxhash.xxh32_intdigest(b" ".join(parts))] if parts else [], "<u4")
+    else:
+        line = memoryview(b" ".join(parts))
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+        begins = np.concatenate(([0], ends[:-1] + 1))
+        h = np.unique(np.fromiter((xxhash.xxh32_intdigest(line[a:b]) for a, b in zip(begins.tolist(), ends[words - 1 :].tolist())), "<u4", len(parts) - words + 1))
+    return h[:most], len(h)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [t or b"" for t in b.column("__text").to_pylist()]
+        got = [sketch(t) for t in texts]
+        cols = [pa.array([_signed(word_print(t)[0]) for t in texts], pa.int64()), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64())]
+        yield pa.RecordBatch.from_arrays([b.column("__node"), *cols], ["__node", "__fp", "sketch", "n"])
+
+
+def similarity(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, most: int = SKETCH) -> float:
+    """Jaccard similarity by :func:`sketch`; exact where neither has been cut."""
+    both = np.intersect1d(a, b, assume_unique=True)
+    if max(n_a, n_b) <= most:
+        return len(both) / max(1, n_a + n_b - len(both))
+    union = np.union1d(a, b)[:most]
+    return int(np.count_nonzero(both <= union[-1])) / len(union)
+
+
+def _joined(nodes: np.ndarray, fps: np.ndarray, sketches: list[np.ndarray], sizes: list[int]) -> list[tuple[int, int]]:
+    """Links (larger, smaller node) that join every two of a block that are near; those joined already are not compared."""
+    root = np.arange(len(nodes))
+    out = []
+    for i in range(len(nodes) - 1):
+        near = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= STAGE_RADIUS) + i + 1
+        for j in near.tolist():
+            if root[i] != root[j] and min(sizes[i], sizes[j]) >= LIKE * max(sizes[i], sizes[j]) and similarity(sketches[i], sizes[i], sketches[j], sizes[j]) >= LIKE:
+                root[root == root[j]] = root[i]
+                out.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+    return out
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows (block, __node, __fp, sketch, n) that come block by block; one block is held at a time."""
+    now, held = None, []
+
+    def done() -> list[tuple[int, int]]:
+        held.sort(key=lambda x: x[0])
+        return _joined(np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64).view(np.uint64), [np.frombuffer(x[2], "<u4") for x in held], [x[3] for x in held]) if len(held) > 1 else []
+
+    for b in batches:
+        found = []
+        for block, *row in zip(*(b.column(c).to_pylist() for c in ("block", "__node", "__fp", "sketch", "n"))):
+            if block != now:
+                found += done()
+                now, held = block, []
+            held.append(row)
+        yield _pairs(found)
+    yield _pairs(done())
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["src", "dst"])
+
+
+def blocks(texts: DataFrame, radius: int = STAGE_RADIUS, most: int = BLOCK) -> DataFrame:
+    """(block, __node): every two rows of ``texts`` (__node, __fp) within the radius share a bucket, and so a block.
+
+    A bucket of more than ``most`` texts is dealt into several blocks, each
+    with the bucket's least node; every table that brings two texts together
+    deals them anew. Buckets of the same nodes are one block.
+    """
+    masks = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(_signed(m)).alias("m")) for v, m in enumerate(covering(list(range(BITS)), radius))])
+    cut = texts.select("__node", "__fp", F.explode(masks).alias("t")).select("__node", F.xxhash64("t.v", F.col("__fp").bitwiseAND(F.col("t.m"))).alias("key"))
+    large = reliable(cut.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("__node").alias("first")).where(F.col("rows") > most))
+    n = large.limit(BROADCAST_KEYS + 1).count()
+    if n:
+        known = F.broadcast(large) if n <= BROADCAST_KEYS else large
+        deal = F.pmod(F.xxhash64("__node", "key"), F.ceil(F.col("rows") / most))
+        cut = cut.join(known, "key", "left").select("key", F.coalesce(deal, F.lit(0)).alias("part"), "__node", "first")
+        nodes = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.collect_list("__node"), F.array(F.first("first"))))))
+        groups = cut.groupBy("key", "part").agg(nodes.alias("nodes"))
+    else:
+        groups = cut.groupBy("key").agg(F.array_sort(F.collect_list("__node")).alias("nodes"))
+    groups = groups.where(F.size("nodes") > 1).select(F.xxhash64("nodes").alias("block"), "nodes").distinct()
+    return groups.select("block", F.explode("nodes").alias("__node"))
+
+
+def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links): one node for each different sequence of words in ``docs`` (doc_id, text), and for every
+    node but the least of its group, that one.
+
+    Texts are linked if the Jaccard similarity of their shingles of five words
+    is LIKE or more and their words' SimHashes differ in STAGE_RADIUS bits at
+    most. Of a text with more than SKETCH different shingles the similarity is
+    estimated from so many of least hash.
+    """
+    arrow_batches(docs.sparkSession)
+    body = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("__text"))
+    prints = body.mapInArrow(_word_prints, "doc_id bigint, __fp bigint, __same bigint")
+    texts = reliable(prints.groupBy("__same", "__fp").agg(F.min("doc_id").alias("__node")))
+    members = reliable(blocks(texts.select("__node", "__fp")))
+    some = body.withColumnRenamed("doc_id", "__node").join(members.select("__node").distinct(), "__node", "left_semi")
+    rows = members.join(some.mapInArrow(_sketches, "__node bigint, __fp bigint, sketch binary, n bigint"), "__node")
+    found = rows.select("block", "__node", "__fp", "sketch", "n").repartition("block").sortWithinPartitions("block").mapInArrow(_verify, "src bigint, dst bigint")
+    return texts.select("__node").distinct(), components(found)
+
+
 def keep_firsts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: of every group of near duplicates, the document of the smallest doc_id (one row of it).
+    """Stage: of every group of exact and near copies (:func:`near_copies`), the document of the smallest doc_id.
 
-    A link is 4 or fewer differing bits over shingles of five words. Documents
-    without a doc_id stay.
+    Texts without a word are one group. A repeated doc_id is one document, of
+    which one row stays; documents without a doc_id stay.
     """
     cols = docs.columns
-    rows = reliable(fingerprints(docs, STAGE_WORDS))
-    firsts = grouped(rows).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    nodes, ends = near_copies(docs)
+    firsts = nodes.join(ends.select(F.col("src").alias("__node")), "__node", "left_anti").select(F.col("__node").alias("doc_id"))
     known = docs.where(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left_semi")
-    repeated = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    if repeated.limit(1).count():
+    if known.groupBy("doc_id").count().where("count > 1").limit(1).count():
         known = known.dropDuplicates(["doc_id"])
     return known.unionByName(docs.where(F.col("doc_id").isNull())).select(*cols)
 

@@ -274,6 +274,57 @@ def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     good = {r["doc_id"] for r in quality.judged(docs).where("kept").collect()}
     assert kept <= good and len(kept) > 0.5 * len(good)
-    rows = simhash.fingerprints(docs.where(docs.doc_id.isin(*kept)), 5).collect()
-    fps = [r["__fp"] & (1 << 64) - 1 for r in rows]
-    assert all((a ^ b).bit_count() > 4 for i, a in enumerate(fps) for b in fps[i + 1 :])
+    texts = dict(docs.where(docs.doc_id.isin(*good)).select("doc_id", "text").collect())
+    assert kept == firsts_by_brute_force(texts)
+
+
+def shingles(text):
+    parts = (text or "").encode().lower().split()
+    return {tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+
+def firsts_by_brute_force(texts):
+    """The smallest id of every group of texts whose shingles are alike at 0.8 or more and whose words' SimHashes differ in 6 bits at most."""
+    ids = sorted(texts)
+    sets = {i: shingles(texts[i]) for i in ids}
+    prints = {i: simhash.word_print((texts[i] or "").encode())[0] for i in ids}
+    least = {i: i for i in ids}
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            union = len(sets[a] | sets[b])
+            alike = len(sets[a] & sets[b]) >= 0.8 * union if union else True
+            if alike and (prints[a] ^ prints[b]).bit_count() <= 6 and least[a] != least[b]:
+                low, high = sorted((least[a], least[b]))
+                least = {i: low if v == high else v for i, v in least.items()}
+    return {i for i in ids if least[i] == i}
+
+
+def test_near_copies_stage(spark, docs, none, monkeypatch):
+    rng = random.Random(5)
+    texts = {}
+    for base in range(12):
+        own = words(260, 100 + base).split()
+        for k in range(12):
+            new = list(own)
+            for _ in range(k):
+                new[rng.randrange(len(new))] = words(1, rng.random())
+            texts[len(texts)] = " ".join(new)
+    texts[900], texts[901], texts[902] = "", None, "\t "
+    df = spark.createDataFrame([(i, t, *[None] * 8) for i, t in texts.items()], SCHEMA).repartition(5)
+    want = firsts_by_brute_force(texts)
+    assert 12 < len(want) < 100
+    assert {r["doc_id"] for r in simhash.keep_firsts(spark, df, "").collect()} == want
+    prints = [(i, simhash._signed(simhash.word_print((t or "").encode())[0])) for i, t in texts.items()]
+    blocks = simhash.blocks(spark.createDataFrame(prints, "__node bigint, __fp bigint"), most=4).collect()
+    by = {}
+    for r in blocks:
+        by.setdefault(r["block"], set()).add(r["__node"])
+    assert max(map(len, by.values())) < 12 and {i for i, _ in prints} == set().union(*by.values())
+    assert simhash.keep_firsts(spark, none, "").count() == 0
+    kept = simhash.keep_firsts(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [0, 2, 6, 7, 8] and len(kept) == 6
+    assert len(kept[0]) == 10
+    long_a, long_b = words(9000, 7), words(9000, 7) + " " + words(900, 8)
+    a, b = simhash.sketch(long_a.encode()), simhash.sketch(long_b.encode())
+    exact = len(shingles(long_a) & shingles(long_b)) / len(shingles(long_a) | shingles(long_b))
+    assert abs(simhash.similarity(*a, *b) - exact) < 0.06
