@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, reliable, table
@@ -26,8 +26,8 @@ from .common import arrow_batches, reliable, table
 BITS, RADIUS, WORDS = 64, 4, 4
 #: The pipeline's stage: shingles of five words, a similarity of 0.8; its words' SimHashes may differ in so many bits.
 STAGE_WORDS, LIKE, STAGE_RADIUS = 5, 0.8, 6
-#: Shingle hashes that a text is compared by; texts in a block; keys that are sent to every executor.
-SKETCH, BLOCK, BROADCAST_KEYS = 512, 1024, 100_000
+#: Shingle hashes that a text is compared by; texts in a block; keys that are sent to every executor; one text of how many tells large buckets.
+SKETCH, BLOCK, BROADCAST_KEYS, ONE_OF = 512, 1024, 100_000, 64
 #: A bucket of more fingerprints is covered again.
 BUCKET = 4096
 _MASK = (1 << 64) - 1
@@ -298,27 +298,30 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["src", "dst"])
 
 
-def blocks(texts: DataFrame, radius: int = STAGE_RADIUS, most: int = BLOCK) -> DataFrame:
+def blocks(texts: DataFrame, radius: int = STAGE_RADIUS, most: int = BLOCK, one_of: int = ONE_OF) -> DataFrame:
     """(block, __node): every two rows of ``texts`` (__node, __fp) within the radius share a bucket, and so a block.
 
-    A bucket of more than ``most`` texts is dealt into several blocks, each
-    with the bucket's least node; every table that brings two texts together
-    deals them anew. Buckets of the same nodes are one block.
+    A bucket of about ``most`` texts or more is dealt into several blocks, each
+    with a node that all of them have; every table that brings two texts
+    together deals them anew. Which buckets are that large is estimated from
+    one text of ``one_of``; all texts are dealt. Buckets of the same nodes are
+    one block.
     """
     masks = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(_signed(m)).alias("m")) for v, m in enumerate(covering(list(range(BITS)), radius))])
-    cut = texts.select("__node", "__fp", F.explode(masks).alias("t")).select("__node", F.xxhash64("t.v", F.col("__fp").bitwiseAND(F.col("t.m"))).alias("key"))
-    large = reliable(cut.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("__node").alias("first")).where(F.col("rows") > most))
-    n = large.limit(BROADCAST_KEYS + 1).count()
+    keys = lambda df: df.select("__node", "__fp", F.explode(masks).alias("t")).select("__node", F.xxhash64("t.v", F.col("__fp").bitwiseAND(F.col("t.m"))).alias("key"))
+    some = keys(texts.where(F.pmod(F.xxhash64("__node"), F.lit(one_of)) == 0))
+    large = reliable(some.groupBy("key").agg((F.count(F.lit(1)) * one_of).alias("rows"), F.min("__node").alias("first")).where(F.col("rows") > most))
+    cut, n = keys(texts), large.limit(BROADCAST_KEYS + 1).count()
     if n:
-        known = F.broadcast(large) if n <= BROADCAST_KEYS else large
         deal = F.pmod(F.xxhash64("__node", "key"), F.ceil(F.col("rows") / most))
-        cut = cut.join(known, "key", "left").select("key", F.coalesce(deal, F.lit(0)).alias("part"), "__node", "first")
-        nodes = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.collect_list("__node"), F.array(F.first("first"))))))
-        groups = cut.groupBy("key", "part").agg(nodes.alias("nodes"))
+        cut = cut.join(F.broadcast(large) if n <= BROADCAST_KEYS else large, "key", "left").select("key", F.coalesce(deal, F.lit(0)).alias("part"), "__node", "first")
     else:
-        groups = cut.groupBy("key").agg(F.array_sort(F.collect_list("__node")).alias("nodes"))
-    groups = groups.where(F.size("nodes") > 1).select(F.xxhash64("nodes").alias("block"), "nodes").distinct()
-    return groups.select("block", F.explode("nodes").alias("__node"))
+        cut = cut.select("key", F.lit(0).cast("bigint").alias("part"), "__node", F.lit(None).cast("bigint").alias("first"))
+    near = Window.partitionBy("key", "part").orderBy("__node")
+    met = cut.withColumn("others", F.coalesce(F.lag("__node").over(near), F.lead("__node").over(near), "first")).where(F.col("others").isNotNull())
+    nodes = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.collect_list("__node"), F.array(F.first("first"))))))
+    groups = met.groupBy("key", "part").agg(nodes.alias("nodes")).where(F.size("nodes") > 1)
+    return groups.select(F.xxhash64("nodes").alias("block"), "nodes").distinct().select("block", F.explode("nodes").alias("__node"))
 
 
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

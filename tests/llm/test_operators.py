@@ -315,7 +315,7 @@ def test_near_copies_stage(spark, docs, none, monkeypatch):
     assert 12 < len(want) < 100
     assert {r["doc_id"] for r in simhash.keep_firsts(spark, df, "").collect()} == want
     prints = [(i, simhash._signed(simhash.word_print((t or "").encode())[0])) for i, t in texts.items()]
-    blocks = simhash.blocks(spark.createDataFrame(prints, "__node bigint, __fp bigint"), most=4).collect()
+    blocks = simhash.blocks(spark.createDataFrame(prints, "__node bigint, __fp bigint"), most=4, one_of=1).collect()
     by = {}
     for r in blocks:
         by.setdefault(r["block"], set()).add(r["__node"])
