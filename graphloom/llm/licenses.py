@@ -173,11 +173,12 @@ def base_places(words: bytes) -> list[tuple[int, str]]:
     out = []
     for phrase, label in BASE:
         p = phrase.encode()
-        at = words.find(p)
+        at, seen, counted = words.find(p), 0, 0
         while at >= 0:
+            seen, counted = seen + words.count(b" ", counted, at), at
             end = at + len(p)
             if (at == 0 or words[at - 1] == 32) and (end == len(words) or words[end] == 32):
-                out.append((words.count(b" ", 0, at), label))
+                out.append((seen, label))
             at = words.find(p, at + 1)
     return out
 
