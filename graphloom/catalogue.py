@@ -189,6 +189,73 @@ def q_r8_cap(t):
     return R.first_of_each(t("hops").select("src", "id"), ["src"], [F.col("id")], 8)
 
 
+@_query("""SELECT name, array_to_string(list_sort(list(signal)), ',') AS evidence FROM (SELECT DISTINCT 'f' || CAST(id % 40 AS STRING) AS name, 's' || CAST(id % 7 AS STRING) AS signal FROM {entrypoints}) GROUP BY 1""")
+def q_g4_evidence(t):
+    e = t("entrypoints").select(F.concat(F.lit("f"), F.col("id") % 40).alias("name"), F.concat(F.lit("s"), F.col("id") % 7).alias("signal"), (F.col("id") % 7).alias("ord"))
+    return R.evidence(e, "name", "signal", "ord").select("name", F.array_join("evidence", ",").alias("evidence"))
+
+
+@_query(f"""SELECT p AS prefix, CAST(count_if(s) AS BIGINT) AS sinks, CAST(count_if(NOT s) AS BIGINT) AS sources,
+CASE WHEN count_if(s) < 9 OR count_if(NOT s) < 1 THEN 'minimal' WHEN count_if(s) >= 12 AND count_if(NOT s) >= 2 THEN 'full' ELSE 'partial' END AS tier
+FROM (SELECT p_brand AS p, p_size > 20 AS s FROM {{part}}) GROUP BY 1""".replace("{{", "{").replace("}}", "}"))
+def q_g5_coverage(t):
+    return R.coverage(t("part").select(F.col("p_brand").alias("prefix"), F.when(F.col("p_size") > 20, "high").alias("severity")))
+
+
+@_query("SELECT f.id, coalesce(m.e, 1) AS end_line FROM {files} f LEFT JOIN (SELECT file_id, max(end_line) AS e FROM {symbols} GROUP BY 1) m ON m.file_id = f.id")
+def q_g8_last_lines(t):
+    return R.last_lines(t("symbols"), t("files"))
+
+
+@_query("SELECT kind, count(*) AS n FROM {symbols} GROUP BY 1")
+def q_g10_count_symbols(t):
+    return t("symbols").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FLOWS = "SELECT id AS entrypoint_id, CASE id % 3 WHEN 0 THEN 'page' WHEN 1 THEN 'ref' ELSE 'other' END AS source_key, CAST(symbol_id AS STRING) AS path FROM {entrypoints}"
+
+
+@_query(f"""SELECT entrypoint_id, parameter, string_agg(path, ',' ORDER BY path) AS paths FROM (
+SELECT coalesce(f.entrypoint_id, p.entrypoint_id) AS entrypoint_id, p.name AS parameter, f.path FROM ({_FLOWS}) f
+FULL OUTER JOIN (SELECT DISTINCT entrypoint_id, name FROM {{params}}) p ON p.entrypoint_id = f.entrypoint_id AND p.name = f.source_key) GROUP BY 1, 2""".replace("{{", "{").replace("}}", "}"))
+def q_p17_flows_by_parameter(t):
+    key = F.when(F.col("id") % 3 == 0, "page").when(F.col("id") % 3 == 1, "ref").otherwise("other")
+    flows = t("entrypoints").select(F.col("id").alias("entrypoint_id"), key.alias("source_key"), F.col("symbol_id").cast("string").alias("path"))
+    out = R.flows_by_parameter(flows, t("params"))
+    return out.select("entrypoint_id", "parameter", F.when(F.size("paths") > 0, F.array_join("paths", ",")).alias("paths"))
+
+
+@_query("""SELECT src, channel, source_key, line FROM (SELECT src, via AS channel, CASE WHEN id % 3 = 0 THEN kind END AS source_key, line, row_number() OVER (PARTITION BY src ORDER BY line, id) AS rn
+FROM {hops} WHERE via IS NOT NULL OR id % 3 = 0) WHERE rn = 1""")
+def q_g14_first_source(t):
+    e = t("hops").select("id", "src", "line", F.col("via").alias("channel"), F.when(F.col("id") % 3 == 0, F.col("kind")).alias("source_key"))
+    return R.first_source(e)
+
+
+@_query("SELECT src, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines FROM {hops} WHERE via IS NOT NULL GROUP BY 1")
+def q_g15_accessor_lines(t):
+    return R.accessor_lines(t("hops").withColumn("source_id", F.col("via"))).select("src", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
+
+
+@_query("""SELECT id, CASE WHEN id % 10 = 0 THEN 'explicit' WHEN id % 10 = 1 THEN 'spec' WHEN extra LIKE '%tainted_params%' THEN 'handler_params' ELSE 'handler' END AS source_kind FROM {entrypoints}""")
+def q_p14_source_kind(t):
+    e = t("entrypoints").withColumns({"explicit": F.col("id") % 10 == 0, "spec": F.col("id") % 10 == 1})
+    return e.select("id", R.source_kind().alias("source_kind"))
+
+
+@_query("SELECT repo_id, coalesce(v, 0) < 5 AS stale FROM (SELECT DISTINCT repo_id, CASE WHEN repo_id % 3 > 0 THEN repo_id % 9 END AS v FROM {files})")
+def q_f15_stale(t):
+    r = t("files").select("repo_id").distinct().withColumn("analyzer_version", F.when(F.col("repo_id") % 3 > 0, F.col("repo_id") % 9))
+    return r.select("repo_id", R.stale(5).alias("stale"))
+
+
+@_query("""SELECT id, kind, route, framework FROM {entrypoints} WHERE framework IN ('flask', 'gin') OR id IN (SELECT entrypoint_id FROM {params} WHERE name = 'ref')""")
+def q_f8_spec_union(t):
+    by_name = t("entrypoints").where(F.col("framework").isin("flask", "gin")).select("id")
+    ids = by_name.union(t("params").where("name = 'ref'").select("entrypoint_id")).distinct()
+    return t("entrypoints").join(ids, "id", "left_semi").select("id", "kind", "route", "framework")
+
+
 # Maintenance
 
 

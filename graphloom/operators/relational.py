@@ -176,3 +176,47 @@ def best_first(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> Da
 def first_of_each(df: DataFrame, key: Sequence[str], order: Sequence[Column], cap: int) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return df.withColumn("__rn", rn).where(F.col("__rn") <= cap).drop("__rn")
+
+
+def evidence(signals: DataFrame, key: str, text: str, order: str) -> DataFrame:
+    """The signals that fired for each key, once each, in their order."""
+    fired = signals.groupBy(key, text).agg(F.min(order).alias("__o")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__o", text))).alias("e"))
+    return fired.select(key, F.transform("e", lambda x: x[text]).alias("evidence"))
+
+
+def last_lines(spans: DataFrame, modules: DataFrame) -> DataFrame:
+    """Last line of each module (id), from all spans of it (file_id, end_line); 1 without any."""
+    ends = spans.where(F.col("file_id").isNotNull()).groupBy(F.col("file_id").alias("id")).agg(F.max("end_line").alias("end_line"))
+    return modules.select("id").join(ends, "id", "left").select("id", F.coalesce("end_line", F.lit(1)).alias("end_line"))
+
+
+def stale(current: int) -> Column:
+    """Whether the column analyzer_version of repositories (null: none) is behind ``current``."""
+    return F.coalesce(F.col("analyzer_version"), F.lit(0)) < current
+
+
+def source_kind(explicit: str = "explicit", spec: str = "spec", extra: str = "extra") -> Column:
+    """How a path's head became a source: explicit, spec, handler_params (the entrypoint names tainted ones) or handler."""
+    tainted = F.from_json(F.col(extra), "tainted_params array<string>")["tainted_params"]
+    return F.when(F.col(explicit), "explicit").when(F.col(spec), "spec").when(F.coalesce(F.size(tainted), F.lit(0)) > 0, "handler_params").otherwise("handler")
+
+
+def first_source(edges: DataFrame, head: str = "src") -> DataFrame:
+    """For each head its source edge of the lowest line (then id) that has a channel or a key."""
+    told = edges.where(F.col("channel").isNotNull() | F.col("source_key").isNotNull())
+    return told.groupBy(head).agg(F.min_by(F.struct("channel", "source_key", "line"), F.struct("line", "id")).alias("m")).select(head, "m.*")
+
+
+def accessor_lines(edges: DataFrame, head: str = "src") -> DataFrame:
+    """The different lines on which each head reads a source."""
+    return edges.where(F.col("source_id").isNotNull()).groupBy(head).agg(F.array_sort(F.collect_set("line")).alias("lines"))
+
+
+def flows_by_parameter(flows: DataFrame, params: DataFrame) -> DataFrame:
+    """Flows (entrypoint_id, source_key, path) under the parameter they read; those of no parameter under null.
+
+    Every parameter has a row; its flows are in order of their path.
+    """
+    p = params.select("entrypoint_id", F.col("name").alias("source_key")).distinct().withColumn("parameter", F.col("source_key"))
+    both = flows.join(p, ["entrypoint_id", "source_key"], "full_outer")
+    return both.groupBy("entrypoint_id", "parameter").agg(F.array_sort(F.collect_list("path")).alias("paths"))
