@@ -312,6 +312,19 @@ def q_w2_allocate_ids(t):
     return M.with_ids(t("customer").select("c_custkey", "c_name"), ["c_name", "c_custkey"], 500).select("c_custkey", "id")
 
 
+@_query("""SELECT id, name, type_ref FROM (SELECT *, row_number() OVER (PARTITION BY entrypoint_id, name, location ORDER BY id) AS rn FROM (
+SELECT o_orderkey AS id, o_custkey AS entrypoint_id, substr(o_orderpriority, 1, 4) AS name, o_orderstatus AS location, substr(o_orderpriority, 3, 64) AS type_ref FROM {orders})) WHERE rn = 1""")
+def q_w9_parameter_dedup(t):
+    p = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entrypoint_id"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("location"), F.expr("substr(o_orderpriority, 3)").alias("type_ref"))
+    return M.dedup_parameters(p, name_most=4).select("id", "name", "type_ref")
+
+
+@_query("SELECT s.id, coalesce(t.type_ref, CASE WHEN s.id % 2 = 0 THEN 'old' END) AS type_ref FROM {symbols} s LEFT JOIN (SELECT c_custkey + 1000000 AS id, c_mktsegment AS type_ref FROM {customer} WHERE c_custkey % 3 = 0) t ON t.id = s.id")
+def q_w10_type_update(t):
+    types = t("customer").where("c_custkey % 3 = 0").select((F.col("c_custkey") + 1000000).alias("id"), F.col("c_mktsegment").alias("type_ref"))
+    return M.update_column(t("symbols").withColumn("type_ref", F.when(F.col("id") % 2 == 0, "old")), types, "id", "type_ref").select("id", "type_ref")
+
+
 # Traversal
 
 _CALLS = "SELECT DISTINCT src, dst FROM {hops} WHERE kind = 'calls' AND confidence >= 1 AND via IS DISTINCT FROM 'cha'"
@@ -412,6 +425,28 @@ def q_p20_hierarchy_candidates(t):
     return G.hierarchy_candidates(methods, closure)
 
 
+@_query("""WITH r AS (SELECT src AS id, 1 AS e, 0 AS i, 0 AS s FROM {edges} WHERE source_id = 'py.flask.query'
+UNION ALL SELECT symbol_id, 0, 1, 0 FROM {entrypoints} WHERE kind = 'http_route' UNION ALL SELECT id, 0, 0, 1 FROM {symbols} WHERE kind = 'class')
+SELECT id, max(e) = 1 AS explicit, max(i) = 1 AND max(e) = 0 AS implicit, max(s) = 1 AS spec FROM r GROUP BY 1""")
+def q_p12_source_ids(t):
+    return G.source_ids(t("edges"), t("entrypoints"), t("symbols").where("kind = 'class'"), ["py.flask.query"], ["http_route"])
+
+
+@_query("SELECT DISTINCT dst AS id FROM {edges} WHERE sink_id = 'py.sql-execute' AND dst IS NOT NULL UNION SELECT id FROM {symbols} WHERE kind = 'module'")
+def q_p13_sink_ids(t):
+    return G.sink_ids(t("edges"), t("symbols").where("kind = 'module'"), ["py.sql-execute"])
+
+
+_DIRECT = "SELECT DISTINCT src, dst FROM {edges} WHERE dst IS NOT NULL AND kind = 'calls' AND confidence >= 1 AND via IS DISTINCT FROM 'cha' AND src <> dst"
+
+
+@_query(f"""SELECT id, 'center' AS role, qname FROM {{symbols}} WHERE id = 1009
+UNION ALL (SELECT id, 'caller', qname FROM {{symbols}} WHERE id IN (SELECT src FROM ({_DIRECT}) WHERE dst = 1009) ORDER BY qname, id LIMIT 20)
+UNION ALL (SELECT id, 'callee', qname FROM {{symbols}} WHERE id IN (SELECT dst FROM ({_DIRECT}) WHERE src = 1009) ORDER BY qname, id LIMIT 20)""".replace("{{", "{").replace("}}", "}"))
+def q_p18_graph_view(t):
+    return G.around(_ids(t, 1009), t("symbols"), G.adjacency(t("edges"), ("calls",)), 20)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best source-to-sink paths."""
     return _QUERIES["r1_ranked_paths"](spark, sf_dir)

@@ -175,3 +175,33 @@ def hierarchy_candidates(methods: DataFrame, closure: DataFrame, least: int = 2,
     from .relational import first_of_each
 
     return first_of_each(kept, ["name"], [F.col("id")], cap)
+
+
+def source_ids(edges: DataFrame, entrypoints: DataFrame, spec: DataFrame, source_ids_: list[str], kinds: list[str]) -> DataFrame:
+    """Sources with how they became one: id, explicit, implicit, spec.
+
+    Explicit: an edge of theirs reads a source of ``source_ids_``. Implicit:
+    they handle an entrypoint of ``kinds`` and are not explicit. ``spec`` (id)
+    was named.
+    """
+    no = lambda *given: [F.lit(k in given).alias(k) for k in ("explicit", "implicit", "spec")]
+    read = edges.where(F.col("source_id").isin(*source_ids_)).select(F.col("src").alias("id"), *no("explicit"))
+    handle = entrypoints.where(F.col("kind").isin(*kinds)).select(F.col("symbol_id").alias("id"), *no("implicit"))
+    out = read.unionByName(handle).unionByName(spec.select("id", *no("spec"))).groupBy("id").agg(*[F.max(k).alias(k) for k in ("explicit", "implicit", "spec")])
+    return out.withColumn("implicit", F.col("implicit") & ~F.col("explicit"))
+
+
+def sink_ids(edges: DataFrame, spec: DataFrame, tagged: list[str]) -> DataFrame:
+    """Ids of sinks: those named by ``spec`` (id) and the targets of edges with a tag of ``tagged``."""
+    into = edges.where(F.col("sink_id").isin(*tagged) & F.col("dst").isNotNull()).select(F.col("dst").alias("id"))
+    return spec.select("id").union(into).distinct()
+
+
+def around(center: DataFrame, symbols: DataFrame, hops: DataFrame, most: int = 60) -> DataFrame:
+    """A view of ``center`` (id): id, role (center, caller, callee), qname; the first ``most`` of each by qname, then id."""
+    names = symbols.select("id", "qname")
+
+    def some(found: DataFrame, role: str) -> DataFrame:
+        return found.select("id").join(names, "id").orderBy("qname", "id").limit(most).select("id", F.lit(role).alias("role"), "qname")
+
+    return some(center, "center").unionByName(some(callers(center, hops), "caller")).unionByName(some(callees(center, hops), "callee"))

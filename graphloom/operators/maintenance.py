@@ -74,3 +74,10 @@ def update_column(df: DataFrame, new: DataFrame, key: str, column: str) -> DataF
     """``column`` replaced where ``new`` (key, column) has a value."""
     n = new.select(key, F.col(column).alias("__new"))
     return df.join(n, key, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
+
+
+def dedup_parameters(params: DataFrame, name_most: int = 128, type_most: int = 64) -> DataFrame:
+    """The first parameter, by id, of each (entrypoint, name, location), with names and types cut as they are stored."""
+    cut = params.withColumns({"name": F.substring("name", 1, name_most), "type_ref": F.substring("type_ref", 1, type_most)})
+    rn = F.row_number().over(Window.partitionBy("entrypoint_id", "name", "location").orderBy("id"))
+    return cut.withColumn("__rn", rn).where("__rn = 1").drop("__rn")
