@@ -7,12 +7,13 @@ orthogonal to all their vectors, so every pair within r bits agrees in some
 table. A bucket of very many different fingerprints is covered again over its
 free bits, until so few are free that it must be small.
 
-The pipeline's stage covers SimHashes of the texts' words in the same way and
-compares the shingles of texts that meet.
+The pipeline's stage needs no fingerprints: texts meet by the least frequent of
+their shingles, so many that no two near copies are missed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,16 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, reliable, table
 
 BITS, RADIUS, WORDS = 64, 4, 4
-#: The pipeline's stage: shingles of five words, a similarity of 0.8; its words' SimHashes may differ in so many bits.
+#: The pipeline's stage: shingles of five words, a similarity of 0.8; bits in which the fingerprints of :func:`blocks` may differ.
 STAGE_WORDS, LIKE, STAGE_RADIUS = 5, 0.8, 6
-#: Shingle hashes that a text is compared by; texts in a block; keys that are sent to every executor; one text of how many tells large buckets.
+#: Shingle hashes in a :func:`sketch`; texts in a block; keys that are sent to every executor; one text of how many tells large buckets.
 SKETCH, BLOCK, BROADCAST_KEYS, ONE_OF = 512, 1024, 100_000, 64
+#: Node ids that are sent to every executor.
+BROADCAST_NODES = 2_000_000
 #: A bucket of more fingerprints is covered again.
 BUCKET = 4096
 _MASK = (1 << 64) - 1
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -233,7 +237,7 @@ def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(text: bytes, words: int = STAGE_WORDS, most: int = SKETCH) -> tuple[np.ndarray, int]:
-    """(the ``most`` least 32-bit hashes of a text's different shingles in order, number of different ones)."""
+    """(the ``most`` least 32-bit hashes of a text's different shingles in order, number of different ones); the stage compares :func:`shingle_set`."""
     parts = text.lower().split()
     if len(parts) <= words:
         h = np.array([xxhash.xxh32_intdigest(b" ".join(parts))] if parts else [], "<u4")
@@ -245,14 +249,6 @@ def sketch(text: bytes, words: int = STAGE_WORDS, most: int = SKETCH) -> tuple[n
     return h[:most], len(h)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [t or b"" for t in b.column("__text").to_pylist()]
-        got = [sketch(t) for t in texts]
-        cols = [pa.array([_signed(word_print(t)[0]) for t in texts], pa.int64()), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64())]
-        yield pa.RecordBatch.from_arrays([b.column("__node"), *cols], ["__node", "__fp", "sketch", "n"])
-
-
 def similarity(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, most: int = SKETCH) -> float:
     """Jaccard similarity by :func:`sketch`; exact where neither has been cut."""
     both = np.intersect1d(a, b, assume_unique=True)
@@ -262,44 +258,10 @@ def similarity(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, most: int = SKE
     return int(np.count_nonzero(both <= union[-1])) / len(union)
 
 
-def _joined(nodes: np.ndarray, fps: np.ndarray, sketches: list[np.ndarray], sizes: list[int]) -> list[tuple[int, int]]:
-    """Links (larger, smaller node) that join every two of a block that are near; those joined already are not compared."""
-    root = np.arange(len(nodes))
-    out = []
-    for i in range(len(nodes) - 1):
-        near = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= STAGE_RADIUS) + i + 1
-        for j in near.tolist():
-            if root[i] != root[j] and min(sizes[i], sizes[j]) >= LIKE * max(sizes[i], sizes[j]) and similarity(sketches[i], sizes[i], sketches[j], sizes[j]) >= LIKE:
-                root[root == root[j]] = root[i]
-                out.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
-    return out
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of rows (block, __node, __fp, sketch, n) that come block by block; one block is held at a time."""
-    now, held = None, []
-
-    def done() -> list[tuple[int, int]]:
-        held.sort(key=lambda x: x[0])
-        return _joined(np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64).view(np.uint64), [np.frombuffer(x[2], "<u4") for x in held], [x[3] for x in held]) if len(held) > 1 else []
-
-    for b in batches:
-        found = []
-        for block, *row in zip(*(b.column(c).to_pylist() for c in ("block", "__node", "__fp", "sketch", "n"))):
-            if block != now:
-                found += done()
-                now, held = block, []
-            held.append(row)
-        yield _pairs(found)
-    yield _pairs(done())
-
-
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["src", "dst"])
-
-
 def blocks(texts: DataFrame, radius: int = STAGE_RADIUS, most: int = BLOCK, one_of: int = ONE_OF) -> DataFrame:
-    """(block, __node): every two rows of ``texts`` (__node, __fp) within the radius share a bucket, and so a block.
+    """(block, __node): every two rows of ``texts`` (__node, __fp) within the radius share a bucket, and so mostly a block.
+
+    Not a part of the stage, as pairs of a large bucket may be dealt apart.
 
     A bucket of about ``most`` texts or more is dealt into several blocks, each
     with a node that all of them have; every table that brings two texts
@@ -324,24 +286,161 @@ def blocks(texts: DataFrame, radius: int = STAGE_RADIUS, most: int = BLOCK, one_
     return groups.select(F.xxhash64("nodes").alias("block"), "nodes").distinct().select("block", F.explode("nodes").alias("__node"))
 
 
-def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shingle_set(text: bytes, words: int = STAGE_WORDS) -> np.ndarray:
+    """64-bit hashes of a text's different shingles, in order; a text of fewer words is one shingle."""
+    parts = text.lower().split()
+    k = min(words, len(parts))
+    if not k:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
+    out = np.full(len(h) - k + 1, k, np.uint64)
+    for i in range(k):
+        out = (out ^ h[i : len(h) - k + 1 + i]) * _MULT
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def prefix(own: np.ndarray, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set, least frequent first (``often`` tells how often the sorted ``common`` are), and how often they are.
+
+    So many that sets alike at LIKE or more share one: they share ceil(LIKE n) of
+    either set's n, whatever the order, if only all sets are in the same one.
+    """
+    n = np.zeros(len(own), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        n = np.where(common[at] == own, often[at], 0)
+    order = np.argsort(n, kind="stable")[: len(own) - math.ceil(LIKE * len(own) - 1e-6) + 1]
+    return own[order], n[order]
+
+
+def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingle_set(t or b"") for t in b.column("__text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["key"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("__node"), pa.array([shingle_set(t or b"").tobytes() for t in b.column("__text").to_pylist()], pa.binary())], ["__node", "shingles"])
+
+
+def shingle_keys(texts: DataFrame, most: int = BLOCK, one_of: int = ONE_OF) -> DataFrame:
+    """(key, part, parts, __node, n): the :func:`prefix` of every text of ``texts`` (__node, __text), of n shingles.
+
+    One text of ``one_of`` tells which shingles are common. They stand last, and
+    the texts of one that has about ``most`` or more are dealt into parts; both
+    are only for speed.
+    """
+    spark = texts.sparkSession
+    some = texts.where(F.pmod(F.xxhash64("__node"), F.lit(one_of)) == 0).select("__text").mapInArrow(_all_shingles, "key bigint")
+    found = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).orderBy(F.desc("n"), "key").limit(BROADCAST_KEYS).toArrow()
+    common, often = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(common)
+    sent = spark.sparkContext.broadcast((common[order], often[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, often = sent.value
+        for b in batches:
+            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for node, text in zip(b.column("__node").to_pylist(), b.column("__text").to_pylist()):
+                own = shingle_set(text or b"")
+                if not len(own):
+                    continue
+                keys, n = prefix(own, common, often)
+                parts = np.maximum(1, -(-n * one_of // most))
+                deal = xxhash.xxh3_64_intdigest(node.to_bytes(8, "little", signed=True)) >> 1
+                for c, x in zip(cols, (keys.view(np.int64), deal % parts, parts, np.full(len(keys), node), np.full(len(keys), len(own)))):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*c, np.zeros(0, np.int64)]), pa.int64()) for c in cols], ["key", "part", "parts", "__node", "n"])
+
+    return texts.select("__node", "__text").mapInArrow(run, "key bigint, part bigint, parts bigint, __node bigint, n bigint")
+
+
+def _shared(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many keys sets of n and m shingles, alike at LIKE or more, share at least.
+
+    They have LIKE / (1 + LIKE) of n + m shingles in common. The one whose
+    prefix ends first has all of these but those behind its prefix among the
+    keys of both.
+    """
+    behind = np.ceil(LIKE * np.maximum(n, m) - 1e-6) - 1
+    return np.maximum(1, np.ceil((n + m) * (LIKE / (1 + LIKE)) - 1e-6) - behind).astype(np.int64)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket's texts (node, group, n) of sizes that may be alike and not of one group, each with :func:`_shared`."""
+    for b in batches:
+        out = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for row in b.column("rows"):
+            node, group, n = (row.values.field(c).to_numpy() for c in ("__node", "group", "n"))
+            for i in range(len(node) - 1):
+                rest = n[i + 1 :]
+                may = (np.minimum(n[i], rest) >= LIKE * np.maximum(n[i], rest) - 1e-6) & (group[i + 1 :] != group[i])
+                if len(near := node[i + 1 :][may]):
+                    for c, x in zip(out, (np.maximum(near, node[i]), np.minimum(near, node[i]), _shared(n[i], rest[may]))):
+                        c.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], ["src", "dst", "least"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        good = []
+        for x, y in zip(b.column("x"), b.column("y")):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= LIKE * max(len(x), len(y)) - 1e-6 else 0
+            good.append(both / max(1, len(x) + len(y) - both) >= LIKE)
+        yield b.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` to be sent to every executor, so that whole texts are not shuffled, unless there are too many."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else rows
+
+
+def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (src, dst) of ``texts`` (__node, __text) whose shingles, all of them, are alike at LIKE or more."""
+    pairs = reliable(pairs.distinct())
+    nodes = reliable(pairs.select(F.col("src").alias("__node")).unionByName(pairs.select(F.col("dst").alias("__node"))).distinct())
+    sets = texts.join(few(nodes), "__node", "left_semi").mapInArrow(_sets, "__node bigint, shingles binary")
+    both = pairs.join(sets.select(F.col("__node").alias("src"), F.col("shingles").alias("x")), "src").join(sets.select(F.col("__node").alias("dst"), F.col("shingles").alias("y")), "dst")
+    return reliable(both.select("src", "dst", "x", "y").mapInArrow(_alike, "src bigint, dst bigint"))
+
+
+def near_copies(docs: DataFrame, most: int = BLOCK, one_of: int = ONE_OF) -> tuple[DataFrame, DataFrame]:
     """(nodes, links): one node for each different sequence of words in ``docs`` (doc_id, text), and for every
     node but the least of its group, that one.
 
     Texts are linked if the Jaccard similarity of their shingles of five words
-    is LIKE or more and their words' SimHashes differ in STAGE_RADIUS bits at
-    most. Of a text with more than SKETCH different shingles the similarity is
-    estimated from so many of least hash.
+    is LIKE or more. Every two of them share a key (:func:`shingle_keys`).
+    First a text is compared with the one that most of its keys have first,
+    which joins the groups of many copies; then with all others that are not of
+    its group and have as many keys in common as near copies must.
     """
     arrow_batches(docs.sparkSession)
     body = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("__text"))
-    prints = body.mapInArrow(_word_prints, "doc_id bigint, __fp bigint, __same bigint")
-    texts = reliable(prints.groupBy("__same", "__fp").agg(F.min("doc_id").alias("__node")))
-    members = reliable(blocks(texts.select("__node", "__fp")))
-    some = body.withColumnRenamed("doc_id", "__node").join(members.select("__node").distinct(), "__node", "left_semi")
-    rows = members.join(some.mapInArrow(_sketches, "__node bigint, __fp bigint, sketch binary, n bigint"), "__node")
-    found = rows.select("block", "__node", "__fp", "sketch", "n").repartition("block").sortWithinPartitions("block").mapInArrow(_verify, "src bigint, dst bigint")
-    return texts.select("__node").distinct(), components(found)
+    prints = reliable(body.mapInArrow(_word_prints, "doc_id bigint, __fp bigint, __same bigint"))
+    nodes = reliable(prints.groupBy("__same", "__fp").agg(F.min("doc_id").alias("__node"))).select("__node").distinct()
+    copies = reliable(prints.select(F.col("doc_id").alias("__node")).join(nodes, "__node", "left_anti").distinct())
+    rows = body.withColumnRenamed("doc_id", "__node").join(few(copies), "__node", "left_anti")
+    own = Window.partitionBy("key", "part")
+    met = shingle_keys(rows, most, one_of).withColumn("first", F.min(F.struct("__node", "n")).over(own)).withColumn("size", F.count(F.lit(1)).over(own))
+    met = reliable(met.where("size > 1 OR parts > 1").drop("size"))
+    firsts = met.where("parts > 1").groupBy("key").agg(F.min("first").alias("least"), F.collect_set("first").alias("all"))
+    stars = met.select(F.struct("__node", "n").alias("a"), F.col("first").alias("b")).unionByName(firsts.select(F.explode("all").alias("a"), F.col("least").alias("b")))
+    stars = stars.where("a.__node <> b.__node").groupBy(F.col("a.__node").alias("src"), F.col("b.__node").alias("dst")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("a.n") + F.col("b.n")).alias("sum"), F.max(F.greatest("a.n", "b.n")).alias("max"))
+    stars = stars.where(F.col("n") >= LIKE / (1 + LIKE) * F.col("sum") - LIKE * F.col("max"))
+    links = alike(stars.groupBy("src").agg(F.max_by("dst", F.struct("n", F.negative("dst"))).alias("dst")), rows)
+    ends = components(links).select(F.col("src").alias("__node"), F.col("dst").alias("group"))
+    held = met.drop("first").join(ends, "__node", "left").withColumn("group", F.coalesce("group", "__node"))
+    several = held.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("key")
+    held = held.join(several, "key", "left_semi")
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))  # every two parts meet
+    held = held.groupBy("key", F.least("part", "other").alias("part"), F.greatest("part", "other").alias("other")).agg(F.collect_list(F.struct("__node", "group", "n")).alias("rows"))
+    pairs = held.where(F.size("rows") > 1).select("rows").mapInArrow(_candidates, "src bigint, dst bigint, least bigint")
+    pairs = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("src", "dst")
+    more = alike(pairs, rows)
+    return nodes, components(links.unionByName(more))
 
 
 def keep_firsts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

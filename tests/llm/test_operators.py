@@ -328,3 +328,54 @@ def test_near_copies_stage(spark, docs, none, monkeypatch):
     a, b = simhash.sketch(long_a.encode()), simhash.sketch(long_b.encode())
     exact = len(shingles(long_a) & shingles(long_b)) / len(shingles(long_a) | shingles(long_b))
     assert abs(simhash.similarity(*a, *b) - exact) < 0.06
+
+
+def firsts_by_shingles(texts):
+    """The smallest id of every group of texts whose shingles are alike at 0.8 or more."""
+    ids = sorted(texts)
+    sets = {i: shingles(texts[i]) for i in ids}
+    least = {i: i for i in ids}
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            if least[a] != least[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((least[a], least[b]))
+                least = {i: low if v == high else v for i, v in least.items()}
+    return {i for i in ids if least[i] == i}
+
+
+def test_near_copies_in_a_hot_set(spark):
+    """Records of the same words in other orders and with one common passage: each small class of copies is found, however the set is dealt."""
+    rng = random.Random(11)
+    own, passage = words(120, 1).split(), words(80, 2).split()
+    texts = {}
+    for base in range(60):
+        rng.shuffle(own)
+        for k in range(2 + base % 2):
+            new = [*own, *passage]
+            for _ in range(3 * k):
+                new[rng.randrange(len(new))] = words(1, rng.random())
+            texts[len(texts)] = " ".join(new)
+    want = firsts_by_shingles(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    nodes, ends = simhash.near_copies(df, most=16, one_of=1)
+    assert {r[0] for r in nodes.collect()} - {r["src"] for r in ends.collect()} == want
+    assert 60 <= len(want) < 120
+
+
+def test_near_copies_odd_rows(spark, docs, none):
+    assert simhash.keep_firsts(spark, none, "").count() == 0
+    kept = simhash.keep_firsts(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [0, 2, 6, 7, 8] and len(kept) == 6
+    rng = random.Random(5)
+    texts = {}
+    for base in range(12):  # as in test_near_copies_stage, by shingles alone
+        own = words(260, 100 + base).split()
+        for k in range(12):
+            new = list(own)
+            for _ in range(k):
+                new[rng.randrange(len(new))] = words(1, rng.random())
+            texts[len(texts)] = " ".join(new)
+    df = spark.createDataFrame([(i, t, *[None] * 8) for i, t in texts.items()], SCHEMA)
+    want = firsts_by_shingles(texts)
+    assert {r["doc_id"] for r in simhash.keep_firsts(spark, df, "").collect()} == want
+    assert firsts_by_brute_force(texts) - want == {54}
