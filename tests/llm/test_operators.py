@@ -362,6 +362,20 @@ def test_near_copies_in_a_hot_set(spark):
     assert 60 <= len(want) < 120
 
 
+def test_near_copies_need_no_near_fingerprints(spark):
+    rng = random.Random(12)
+    pairs = []
+    while len(pairs) < 6:
+        a = words(60, rng.random()).split()
+        b = [*a[:-5], *words(5, rng.random()).split()]
+        x, y = (simhash.word_print(" ".join(t).encode())[0] for t in (a, b))
+        if (x ^ y).bit_count() > 6:
+            pairs.append((" ".join(a), " ".join(b)))
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    ends = simhash.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))[1]
+    assert {r["src"]: r["dst"] for r in ends.collect()} == {2 * i + 1: 2 * i for i in range(6)}
+
+
 def test_near_copies_odd_rows(spark, docs, none):
     assert simhash.keep_firsts(spark, none, "").count() == 0
     kept = simhash.keep_firsts(spark, docs, "").collect()
