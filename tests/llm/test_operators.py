@@ -376,6 +376,21 @@ def test_near_copies_need_no_near_fingerprints(spark):
     assert {r["src"]: r["dst"] for r in ends.collect()} == {2 * i + 1: 2 * i for i in range(6)}
 
 
+def test_long_near_copies_are_compared_whole(spark):
+    """Pairs of long texts just above and just below 0.8: none is decided by a sample."""
+    rows, want = [], {}
+    for i in range(16):
+        a = words(1800, 500 + i).split()
+        b = [*a[: 1622 if i % 2 else 1592], *words(178 if i % 2 else 208, 900 + i).split()]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        x, y = shingles(rows[-2][1]), shingles(rows[-1][1])
+        assert (len(x & y) >= 0.8 * len(x | y)) == bool(i % 2) and abs(len(x & y) / len(x | y) - 0.8) < 0.03
+        if i % 2:
+            want[2 * i + 1] = 2 * i
+    ends = simhash.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))[1]
+    assert {r["src"]: r["dst"] for r in ends.collect()} == want
+
+
 def test_near_copies_odd_rows(spark, docs, none):
     assert simhash.keep_firsts(spark, none, "").count() == 0
     kept = simhash.keep_firsts(spark, docs, "").collect()
