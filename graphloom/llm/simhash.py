@@ -81,7 +81,9 @@ def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ("
 def covering(bits: list[int], radius: int = RADIUS) -> list[int]:
     """Masks over the given bit places of which some agrees for any ``radius`` differing bits."""
     n = (1 << (radius + 1)) - 1
-    vector = {b: i % n + 1 for i, b in enumerate(bits)}  # each vector as often as the others
+    spread = [1 << i for i in range(radius + 1)]  # all dimensions first, so that no mask is empty
+    spread += sorted(set(range(1, n + 1)) - set(spread), key=lambda v: xxhash.xxh64_intdigest(v.to_bytes(4, "little")))
+    vector = {b: spread[i % n] for i, b in enumerate(bits)}  # each vector as often as the others
     return [sum(1 << b for b in bits if (vector[b] & v).bit_count() & 1) for v in range(1, n + 1)]
 
 
@@ -97,7 +99,7 @@ def buckets(fps: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFra
     level = fps.select("__fp", "__node", F.lit(0).cast("bigint").alias("key"), F.lit(_signed(_MASK)).alias("free"))
     for depth in range(4):
         frees = [_MASK] if depth == 0 else [r["free"] & _MASK for r in level.select("free").distinct().collect()]  # at most 31^depth
-        masks = {f: [(v, m) for v, m in enumerate(covering([b for b in range(BITS) if f >> b & 1], radius)) if m] for f in frees}
+        masks = {f: [(v, m) for v, m in enumerate(covering([b for b in range(BITS) if f >> b & 1], radius))] for f in frees}
         if not masks:
             break
         cases = F.create_map(*[x for f, ms in masks.items() for x in (F.lit(_signed(f)), F.array(*[F.struct(F.lit(v).alias("v"), F.lit(_signed(m)).alias("m")) for v, m in ms]))])

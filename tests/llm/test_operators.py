@@ -408,3 +408,10 @@ def test_near_copies_odd_rows(spark, docs, none):
     want = firsts_by_shingles(texts)
     assert {r["doc_id"] for r in simhash.keep_firsts(spark, df, "").collect()} == want
     assert firsts_by_brute_force(texts) - want == {54}
+
+
+def test_covering_masks_are_spread_and_none_is_empty():
+    for radius in (4, 6):
+        masks = [m.bit_count() for m in simhash.covering(list(range(64)), radius)]
+        assert min(masks) >= 20 and max(masks) <= 44
+        assert all(min(simhash.covering(list(range(n)), radius)) > 0 for n in range(radius + 1, 64))
