@@ -26,13 +26,13 @@ BASE = (
     ("mit license", "mit"),
 )
 
-#: Label, pattern of the licence's name, keyword that any match holds.
+#: Label, pattern of the licence's name, keywords of which any match holds one.
 FAMILIES = (
     ("apache", r"apache(?: software)?", "apache"),
-    ("mit", r"(?:mit|expat|x11)", "license"),
-    ("gpl", r"(?:gnu )?(?:gpl|general public)(?: license)?", "g"),
-    ("lgpl", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public)(?: license)?", "l"),
-    ("agpl", r"(?:gnu )?(?:agpl|affero general public)(?: license)?", "a"),
+    ("mit", r"(?:mit|expat|x11)", "mit|expat|x11"),
+    ("gpl", r"(?:gnu )?(?:gpl|general public)(?: license)?", "gpl|general public"),
+    ("lgpl", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public)(?: license)?", "lgpl|general public"),
+    ("agpl", r"(?:gnu )?(?:agpl|affero general public)(?: license)?", "agpl|general public"),
     ("fdl", r"(?:gnu )?free documentation", "free documentation"),
     ("mpl", r"mozilla public", "mozilla"),
     ("epl", r"eclipse public", "eclipse"),
@@ -43,25 +43,25 @@ FAMILIES = (
     ("bsd-3-clause", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "bsd"),
     ("bsd-4-clause", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)", "bsd"),
     ("0bsd", r"(?:zero clause bsd|0bsd|bsd zero clause)", "bsd"),
-    ("isc", r"(?:isc|internet systems consortium)", "license"),
+    ("isc", r"(?:isc|internet systems consortium)", "isc|internet systems"),
     ("zlib", r"zlib", "zlib"),
     ("libpng", r"libpng", "libpng"),
     ("boost", r"boost software", "boost"),
     ("artistic", r"artistic", "artistic"),
     ("perl", r"perl 5", "perl"),
-    ("python", r"(?:python software foundation|psf)", "license"),
+    ("python", r"(?:python software foundation|psf)", "python software|psf"),
     ("ruby", r"ruby", "ruby"),
     ("php", r"php", "php"),
     ("openssl", r"openssl", "openssl"),
     ("unlicense", r"unlicense", "unlicense"),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public)", "license"),
+    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public)", "wtfpl|do what the"),
     ("ms-pl", r"microsoft public", "microsoft"),
     ("ms-rl", r"microsoft reciprocal", "microsoft"),
     ("osl", r"open software", "open software"),
     ("afl", r"academic free", "academic"),
     ("ecl", r"educational community", "educational"),
     ("upl", r"universal permissive", "universal"),
-    ("ncsa", r"(?:ncsa|university of illinois)", "license"),
+    ("ncsa", r"(?:ncsa|university of illinois)", "ncsa|university of illinois"),
     ("postgresql", r"postgresql", "postgresql"),
     ("odbl", r"open (?:data commons open )?database", "database"),
     ("odc-by", r"open data commons attribution", "commons"),
@@ -99,7 +99,7 @@ NOTICES = (
     ("gpl", r"gnu gpl", "gnu gpl", 1, 0.8),
     ("apache", r"www apache org licenses", "apache org", 4, 1.0),
     ("boost", r"www boost org license", "boost org", 4, 1.0),
-    ("cc0", r"(?:cc0|creative commons zero)", "c", 2, 0.9),
+    ("cc0", r"(?:cc0|creative commons zero)", "cc0|creative commons zero", 2, 0.9),
     ("cc-by", r"cc by(?: \d \d)?", "cc by", 2, 0.9),
     ("cc-by-sa", r"cc by sa(?: \d \d)?", "cc by", 3, 0.95),
     ("cc-by-nd", r"cc by nd(?: \d \d)?", "cc by", 3, 0.95),
@@ -126,25 +126,22 @@ _WORDS = bytes(c if c >= 0x80 or chr(c).isdigit() or 97 <= c <= 122 else 32 for
 
 @cache
 def rules() -> list[tuple[str, re.Pattern, str, int, float]]:
-    """(label, pattern over the joined words, keyword, priority, score): every family in every form, then the notices."""
+    """(label, pattern over the joined words, keywords, priority, score): every family in every form, then the notices."""
     made = []
     for label, name, key in FAMILIES:
         for form, pattern, priority, score in FORMS:
-            word = "spdx" if form == "spdx" else "licen" if form == "name" or len(key) < 3 and form == "grant" else key
+            word = "spdx" if form == "spdx" else "licen" if form == "name" else key
             made.append((label, pattern.format(n=f"(?:{name})"), word, priority, score))
     made += NOTICES
-    return [(a, re.compile(rf"(?<![^ ]){p}(?![^ ])".encode()), k if len(k) > 2 else {"g": "general public", "l": "general public", "a": "general public", "c": "cc0"}.get(k, k), q, s) for a, p, k, q, s in made]
+    return [(a, re.compile(rf"(?<![^ ]){p}(?![^ ])".encode()), k, q, s) for a, p, k, q, s in made]
 
 
 @cache
 def _automaton() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
     by: dict[str, list[int]] = {}
     for i, r in enumerate(rules()):
-        by.setdefault(r[2], []).append(i)
-        if r[2] == "general public":
-            by.setdefault("gpl", []).append(i)
-        if r[2] == "cc0":
-            by.setdefault("creative commons zero", []).append(i)
+        for k in r[2].split("|"):
+            by.setdefault(k, []).append(i)
     a = ahocorasick.Automaton()
     for k in by:
         a.add_word(k, k)

@@ -415,3 +415,8 @@ def test_covering_masks_are_spread_and_none_is_empty():
         masks = [m.bit_count() for m in simhash.covering(list(range(64)), radius)]
         assert min(masks) >= 20 and max(masks) <= 44
         assert all(min(simhash.covering(list(range(n)), radius)) > 0 for n in range(radius + 1, 64))
+
+
+def test_license_gates_open_for_every_alternative():
+    for text, label in (("released under the gpl", "gpl"), ("distributed under the lgpl", "lgpl"), ("available under agpl", "agpl"), ("released under the wtfpl", "wtfpl"), ("available under mit", "mit"), ("covered by expat version 2", "mit"), ("provided under isc", "isc"), ("subject to psf", "python"), ("governed by ncsa", "ncsa"), ("under cc0", "cc0")):
+        assert label in {x[2] for x in licenses.detect(text.encode())}, text
