@@ -7,6 +7,7 @@ own, so further columns of the input, whatever their names, do not matter.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Keep Arrow batches of whole texts small; those of numbers alone can have more ``rows``."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints", "graphloom"))
     return sc.getCheckpointDir()
 

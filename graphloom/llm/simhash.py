@@ -4,17 +4,19 @@ Every bit of a fingerprint gets a non-zero vector of r + 1 bits, fixed and
 spread evenly. Table v, for each of the 2^(r+1) - 1 non-zero v, compares the
 bits whose vector has odd product with v. For any r differing bits some v is
 orthogonal to all their vectors, so every pair within r bits agrees in some
-table. A bucket of very many different fingerprints is covered again over its
-free bits, until so few are free that it must be small.
+table. A bucket of very many different fingerprints is covered again by other
+masks, until so few bits are free that it must be small; what is still large is
+dealt into parts of which every two meet.
 
-The pipeline's stage needs no fingerprints: texts meet by the least frequent of
-their shingles, so many that no two near copies are missed.
+The pipeline's stage brings texts together by the SimHashes of their words in
+the same way and then compares all their shingles.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,17 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, reliable, table
 
 BITS, RADIUS, WORDS = 64, 4, 4
-#: The pipeline's stage: shingles of five words, a similarity of 0.8; bits in which the fingerprints of :func:`blocks` may differ.
-STAGE_WORDS, LIKE, STAGE_RADIUS = 5, 0.8, 6
-#: Shingle hashes in a :func:`sketch`; texts in a block; keys that are sent to every executor; one text of how many tells large buckets.
-SKETCH, BLOCK, BROADCAST_KEYS, ONE_OF = 512, 1024, 100_000, 64
-#: Node ids that are sent to every executor.
-BROADCAST_NODES = 2_000_000
-#: A bucket of more fingerprints is covered again.
-BUCKET = 4096
+#: The pipeline's stage: shingles of five words, a similarity of 0.8; differing bits of the words' SimHashes that are sure to meet, and
+#: those above which a pair that meets is not compared (unlike texts differ in 32, texts alike at 0.8 in 10 at most, give or take 3).
+STAGE_WORDS, LIKE, STAGE_RADIUS, FAR = 5, 0.8, 9, 18
+#: A bucket of more rows is covered again, by so many levels at most; then it is dealt into parts.
+BUCKET, LEVELS = 4096, 4
+#: Cells of a tally of shingles; one table of how many serves to find centres; members of a block's part.
+CELLS, CENTRE_TABLES, BLOCK = 32, 6, 1024
+#: Rows of ids that are sent to every executor; frequent shingles that are known to it.
+BROADCAST_NODES, COMMON_KEYS = 500_000, 100_000
+#: Rows of numbers, and bytes of shingles, in an Arrow batch.
+NUMBER_ROWS, SENT_BYTES = 1 << 15, 1 << 22
 _MASK = (1 << 64) - 1
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,90 +86,149 @@ def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ("
 def covering(bits: list[int], radius: int = RADIUS) -> list[int]:
     """Masks over the given bit places of which some agrees for any ``radius`` differing bits."""
     n = (1 << (radius + 1)) - 1
-    spread = [1 << i for i in range(radius + 1)]  # all dimensions first, so that no mask is empty
+    spread = [1 << i for i in range(radius + 1)]  # all dimensions first, so that few masks are empty
     spread += sorted(set(range(1, n + 1)) - set(spread), key=lambda v: xxhash.xxh64_intdigest(v.to_bytes(4, "little")))
     vector = {b: spread[i % n] for i, b in enumerate(bits)}  # each vector as often as the others
     return [sum(1 << b for b in bits if (vector[b] & v).bit_count() & 1) for v in range(1, n + 1)]
 
 
-def buckets(fps: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFrame:
-    """(key, __fp, __node) in buckets of few fingerprints: pairs of ``fps`` within the radius share one.
+@cache
+def tables(radius: int, level: int = 0) -> tuple[int, ...]:
+    """The masks of a level: any two fingerprints within ``radius`` agree on one of them.
 
-    ``fps`` has __fp, each once, and __node. A bucket of more than ``most`` is
-    covered again over the bits its masks left free, so its members go to
-    buckets of half as many free bits. Keys are hashes: buckets that share one
-    by chance only bring together more than they need.
+    A radius above four is split: the bits fall into parts, and the parts' radii
+    add up so that the differing bits cannot exceed all of them. Each level
+    deals the bits out anew, so its masks cut the buckets of the level before.
     """
-    done = None
-    level = fps.select("__fp", "__node", F.lit(0).cast("bigint").alias("key"), F.lit(_signed(_MASK)).alias("free"))
-    for depth in range(4):
-        frees = [_MASK] if depth == 0 else [r["free"] & _MASK for r in level.select("free").distinct().collect()]  # at most 31^depth
-        masks = {f: [(v, m) for v, m in enumerate(covering([b for b in range(BITS) if f >> b & 1], radius))] for f in frees}
-        if not masks:
-            break
-        cases = F.create_map(*[x for f, ms in masks.items() for x in (F.lit(_signed(f)), F.array(*[F.struct(F.lit(v).alias("v"), F.lit(_signed(m)).alias("m")) for v, m in ms]))])
-        cut = level.select("__fp", "__node", "key", "free", F.explode(cases[F.col("free")]).alias("t"))
-        cut = cut.select("__fp", "__node", F.xxhash64("key", F.col("t.v"), F.col("__fp").bitwiseAND(F.col("t.m"))).alias("key"), F.col("free").bitwiseAND(F.bitwise_not(F.col("t.m"))).alias("free"))
-        sizes = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-        large = reliable(sizes)
-        if depth == 3 or large.limit(1).count() == 0:
-            small, level = cut, None
-        else:
-            small = cut.join(large, "key", "left_anti")
-            level = cut.join(large.select("key"), "key")
-        small = small.select("key", "__fp", "__node")
+    bits = sorted(range(BITS), key=lambda b: xxhash.xxh64_intdigest(bytes([b, level])))
+    parts = -(-(radius + 1) // 5)
+    radii = [(radius + 1 + parts - 1 - i) // parts - 1 for i in range(parts)]
+    return tuple(m for i, r in enumerate(radii) for m in covering(bits[i::parts], r))
+
+
+def _keys(rows: DataFrame, masks: tuple[int, ...], seed: int) -> DataFrame:
+    """``rows``, once for each mask, with the key of its bucket there (within the bucket ``key`` of before, if any)."""
+    cols = [c for c in rows.columns if c != "key"]
+    cuts = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(_signed(m)).alias("m")) for v, m in enumerate(masks)])
+    before = [F.col("key")] if "key" in rows.columns else [F.lit(seed)]
+    cut = rows.select(*rows.columns, F.explode(cuts).alias("__t"))
+    return cut.select(*cols, F.xxhash64(*before, "__t.v", F.col("__fp").bitwiseAND(F.col("__t.m"))).alias("key"))
+
+
+def few(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """``rows`` to be sent to every executor if there are at most BROADCAST_NODES of them, else as they are."""
+    n = rows.limit(BROADCAST_NODES + 1).count() if n is None else n
+    return F.broadcast(rows) if n <= BROADCAST_NODES else rows
+
+
+def dealt(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` (key, __node and others) with buckets of more than ``most`` dealt into parts, every two of which meet under a key of their own."""
+    parts = reliable(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).alias("__parts")).where("__parts > 1"))
+    n = parts.limit(BROADCAST_NODES + 1).count()
+    if not n:
+        return rows
+    cut = rows.join(few(parts, n), "key", "left").withColumn("__part", F.pmod(F.xxhash64("__node", "key"), F.col("__parts")))
+    met = cut.withColumn("__other", F.explode(F.when(F.col("__parts").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("__parts") - 1))))
+    own = F.when(F.col("__parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("__part", "__other"), F.greatest("__part", "__other")))
+    return met.withColumn("key", own).select(*rows.columns)
+
+
+def buckets(nodes: DataFrame, radius: int = RADIUS, most: int = BUCKET, levels: int = LEVELS) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``nodes`` (__fp, __node and others) with the key of a bucket: pairs within the radius share one.
+
+    Returns the rows in buckets of ``most`` at most, and the others, if any. A
+    larger bucket is covered again by the next level's masks, which leaves half
+    of its free bits; only what is still larger after ``levels`` is in the
+    second table. If ``nodes`` has ``group``, buckets of one group alone are left
+    out where they are large. Keys are hashes: buckets that share one by chance
+    only bring together more than they need.
+    """
+    grouped = "group" in nodes.columns
+    cols = ("key", *nodes.columns)
+    level, done = nodes, None
+    for depth in range(levels):
+        cut = _keys(level, tables(radius, depth), depth)
+        sums = [F.count(F.lit(1)).alias("n"), *([(F.min("group") != F.max("group")).alias("mixed")] if grouped else [])]
+        large = reliable(cut.groupBy("key").agg(*sums).where(F.col("n") > most))
+        n = large.limit(BROADCAST_NODES + 1).count()
+        small = (cut.join(few(large.select("key"), n), "key", "left_anti") if n else cut).select(*cols)
         done = small if done is None else done.unionByName(small)
-        if level is None:
-            break
-    return done
-
-
-def roots_of(fp: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint, the first one of its component among those given."""
-    n = len(fp)
-    root = np.arange(n)
+        if not n:
+            return done, None
+        level = cut.join(few((large.where("mixed") if grouped else large).select("key"), n), "key").select(*cols)
+    return done, level
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
-    for i in range(n - 1):
-        near = np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= radius)
+def _by_bucket(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Columns key and ``names`` of whole buckets at a time, from batches sorted by key."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", *names)]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        end = int(np.searchsorted(cols[0], cols[0][-1], "left")) if len(cols[0]) else 0
+        if end:
+            yield [c[:end] for c in cols]
+        held = [c[end:] for c in cols]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _near(key: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places, first before second, of one key and within the radius; in each part a place comes once on either side."""
+    i, d = np.arange(len(key)), 0
+    while len(i):
+        d += 1
+        i = i[i + d < len(key)]
+        i = i[key[i] == key[i + d]]
+        near = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
         if len(near):
-            a = find(i)
-            for j in np.unique(root[near + i + 1]).tolist():
-                b = find(j)
-                if a != b:
-                    a, b = min(a, b), max(a, b)
-                    root[b] = a
-    return np.array([find(i) for i in range(n)], np.int64)
+            yield near, near + d
 
 
-def _link(radius: int):
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            src, dst = [], []
-            for fps, nodes in zip(b.column("fps"), b.column("nodes")):
-                fp = np.asarray(fps.values).view(np.uint64)
-                node = np.asarray(nodes.values)
-                order = np.argsort(node, kind="stable")
-                fp, node = fp[order], node[order]
-                roots = roots_of(fp, radius)
-                own = np.flatnonzero(roots != np.arange(len(roots)))
-                src.append(node[own])
-                dst.append(node[roots[own]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src) if src else [], pa.int64()), pa.array(np.concatenate(dst) if dst else [], pa.int64())], ["src", "dst"])
-
-    return link
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least place of each component, once the pairs are joined to ``root``."""
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return root
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _forest(radius: int):
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, fp, node in _by_bucket(batches, ("__fp", "__node")):
+            fp, root = fp.view(np.uint64), np.arange(len(key))
+            held, n = [], 0
+            for pair in _near(key, fp, radius):
+                held.append(pair)
+                n += len(pair[0])
+                if n > 1 << 20:
+                    root, held, n = _joined(root, *map(np.concatenate, zip(*held))), [], 0
+            if held:
+                root = _joined(root, *map(np.concatenate, zip(*held)))
+            least = node.copy()
+            np.minimum.at(least, root, node)
+            own = np.flatnonzero(least[root] != node)
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(least[root][own])], ["src", "dst"])
+
+    return forest
+
+
+def sorted_buckets(rows: DataFrame) -> DataFrame:
+    arrow_batches(rows.sparkSession, NUMBER_ROWS)
+    return rows.repartition("key").sortWithinPartitions("key")
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(src, dst), dst < src: a forest in each bucket that joins what is linked there, a star for each component."""
-    arrow_batches(fps.sparkSession)
-    groups = buckets(fps, radius).groupBy("key").agg(F.collect_list("__fp").alias("fps"), F.collect_list("__node").alias("nodes"))
-    return groups.where(F.size("fps") > 1).select("fps", "nodes").mapInArrow(_link(radius), "src bigint, dst bigint").distinct()
+    small, rest = buckets(fps.select("__fp", "__node"), radius)
+    rows = small if rest is None else small.unionByName(dealt(rest, BUCKET))
+    return sorted_buckets(rows).mapInArrow(_forest(radius), "src bigint, dst bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,22 +236,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large and small stars in turn (each node's neighbours are tied to the
     smallest among them) until nothing changes: a number of rounds that grows
-    with the logarithm of the longest chain.
+    with the logarithm of the longest chain. Up to BROADCAST_NODES edges the
+    smallest neighbours are sent to the edges; beyond, both meet by node.
     """
     edges = reliable(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct())
-    seen = None
-    while True:
+    seen, n = None, edges.count()
+    while n:
         both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("m")).withColumn("m", F.least("m", "src"))
-        large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
+        large = both.join(few(least, 2 * n), "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
         low = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(low, "src")
+        small = large.join(few(low, n), "src")
         small = small.select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").unionByName(low.select("src", F.col("m").alias("dst"))).distinct()
         edges = reliable(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        n = now[0]
         if now == seen:
             return edges
         seen = now
+    return edges
 
 
 def grouped(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -197,21 +264,41 @@ def grouped(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     a null doc_id reach others but name no component unless they are alone.
     """
     fps = reliable(rows.groupBy("__fp").agg(F.min("doc_id").alias("__least")))
-    tops = fps.agg(F.min("__least")).first()[0]
-    if tops is not None:
-        nodes = fps.select("__fp", F.col("__least").alias("__node")).where(F.col("__node").isNotNull())
-        ends = components(links(nodes, radius)).select(F.col("src").alias("__node"), F.col("dst").alias("component_id"))
-        nodes = nodes.join(ends, "__node", "left").select("__fp", F.coalesce("component_id", "__node").alias("component_id"))
-    else:
-        nodes = fps.select("__fp", F.col("__least").alias("component_id"))
-    return rows.join(nodes, "__fp", "left")
+    nodes = fps.select("__fp", F.col("__least").alias("__node")).where(F.col("__node").isNotNull())
+    if fps.where(F.col("__least").isNull()).limit(1).count():
+        # fingerprints of rows without a doc_id only: a node of their own below all others, taken off again at the end
+        alone = fps.where(F.col("__least").isNull()).select("__fp", F.lit(None).cast(nodes.schema["__node"].dataType).alias("__node"))
+        return _with_unnamed(rows, nodes, alone, radius)
+    ends = components(links(_spread(nodes), radius)).select(F.col("src").alias("__node"), F.col("dst").alias("component_id"))
+    named = nodes.join(ends, "__node", "left").select("__fp", F.coalesce("component_id", "__node").alias("component_id"))
+    return rows.join(named, "__fp", "left")
+
+
+def _spread(nodes: DataFrame) -> DataFrame:
+    """``nodes`` in partitions that stay small when each row is multiplied by the masks."""
+    return nodes.repartition(max(nodes.sparkSession.sparkContext.defaultParallelism, nodes.count() // 20_000), "__fp")
+
+
+def _with_unnamed(rows: DataFrame, nodes: DataFrame, alone: DataFrame, radius: int) -> DataFrame:
+    """:func:`grouped` where some fingerprints have no doc_id: the fingerprint itself, in a separate range, is their node.
+
+    Components are formed over both; one is named by the smallest doc_id in it,
+    and by null where it has none.
+    """
+    every = nodes.select("__fp", F.col("__node").alias("__name")).unionByName(alone.select("__fp", F.col("__node").cast(nodes.schema["__node"].dataType).alias("__name")))
+    every = reliable(every.withColumn("__node", F.col("__fp")))  # the fingerprints are distinct, so they can stand for the nodes
+    ends = components(links(_spread(every), radius)).select(F.col("src").alias("__node"), F.col("dst").alias("__end"))
+    joined = every.join(ends, "__node", "left").withColumn("__end", F.coalesce("__end", "__node"))
+    names = joined.groupBy("__end").agg(F.min("__name").alias("component_id"))
+    return rows.join(joined.select("__fp", "__end").join(names, "__end").select("__fp", "component_id"), "__fp", "left")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs`` (doc_id, text).
 
     A null or empty text has fingerprint zero and is linked like any other;
-    repeated rows are in one component; an empty table gives no rows.
+    repeated rows are in one component; rows without a doc_id link others, and
+    their component is null if no row in it has one; an empty table gives no rows.
     """
     out = grouped(reliable(fingerprints(docs, words)), radius)
     return out.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -221,80 +308,15 @@ def op4_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def word_print(text: bytes) -> tuple[int, int]:
-    """(SimHash of the different words of a text, hash of its sequence of words), both 0 without a word."""
-    parts = text.lower().split()
-    if not parts:
-        return 0, 0
-    words = set(parts)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(words), bitorder="little").view("<u8")[0]), xxhash.xxh64_intdigest(b" ".join(parts), 1)
-
-
-def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = [word_print(t or b"") for t in b.column("__text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([_signed(g[k]) for g in got], pa.int64()) for k in (0, 1))], ["doc_id", "__fp", "__same"])
-
-
-def sketch(text: bytes, words: int = STAGE_WORDS, most: int = SKETCH) -> tuple[np.ndarray, int]:
-    """(the ``most`` least 32-bit hashes of a text's different shingles in order, number of different ones); the stage compares :func:`shingle_set`."""
+def _word_hashes(text: bytes) -> np.ndarray:
     parts = text.lower().split()
-    if len(parts) <= words:
-        h = np.array([xxhash.xxh32_intdigest(b" ".join(parts))] if parts else [], "<u4")
-    else:
-        line = memoryview(b" ".join(parts))
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-        begins = np.concatenate(([0], ends[:-1] + 1))
-        h = np.unique(np.fromiter((xxhash.xxh32_intdigest(line[a:b]) for a, b in zip(begins.tolist(), ends[words - 1 :].tolist())), "<u4", len(parts) - words + 1))
-    return h[:most], len(h)
-
-
-def similarity(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, most: int = SKETCH) -> float:
-    """Jaccard similarity by :func:`sketch`; exact where neither has been cut."""
-    both = np.intersect1d(a, b, assume_unique=True)
-    if max(n_a, n_b) <= most:
-        return len(both) / max(1, n_a + n_b - len(both))
-    union = np.union1d(a, b)[:most]
-    return int(np.count_nonzero(both <= union[-1])) / len(union)
-
-
-def blocks(texts: DataFrame, radius: int = STAGE_RADIUS, most: int = BLOCK, one_of: int = ONE_OF) -> DataFrame:
-    """(block, __node): every two rows of ``texts`` (__node, __fp) within the radius share a bucket, and so mostly a block.
-
-    Not a part of the stage, as pairs of a large bucket may be dealt apart.
-
-    A bucket of about ``most`` texts or more is dealt into several blocks, each
-    with a node that all of them have; every table that brings two texts
-    together deals them anew. Which buckets are that large is estimated from
-    one text of ``one_of``; all texts are dealt. Buckets of the same nodes are
-    one block.
-    """
-    masks = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(_signed(m)).alias("m")) for v, m in enumerate(covering(list(range(BITS)), radius))])
-    keys = lambda df: df.select("__node", "__fp", F.explode(masks).alias("t")).select("__node", F.xxhash64("t.v", F.col("__fp").bitwiseAND(F.col("t.m"))).alias("key"))
-    some = keys(texts.where(F.pmod(F.xxhash64("__node"), F.lit(one_of)) == 0))
-    large = reliable(some.groupBy("key").agg((F.count(F.lit(1)) * one_of).alias("rows"), F.min("__node").alias("first")).where(F.col("rows") > most))
-    cut, n = keys(texts), large.limit(BROADCAST_KEYS + 1).count()
-    if n:
-        deal = F.pmod(F.xxhash64("__node", "key"), F.ceil(F.col("rows") / most))
-        cut = cut.join(F.broadcast(large) if n <= BROADCAST_KEYS else large, "key", "left").select("key", F.coalesce(deal, F.lit(0)).alias("part"), "__node", "first")
-    else:
-        cut = cut.select("key", F.lit(0).cast("bigint").alias("part"), "__node", F.lit(None).cast("bigint").alias("first"))
-    near = Window.partitionBy("key", "part").orderBy("__node")
-    met = cut.withColumn("others", F.coalesce(F.lag("__node").over(near), F.lead("__node").over(near), "first")).where(F.col("others").isNotNull())
-    nodes = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.collect_list("__node"), F.array(F.first("first"))))))
-    groups = met.groupBy("key", "part").agg(nodes.alias("nodes")).where(F.size("nodes") > 1)
-    return groups.select(F.xxhash64("nodes").alias("block"), "nodes").distinct().select("block", F.explode("nodes").alias("__node"))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
 
 
-def shingle_set(text: bytes, words: int = STAGE_WORDS) -> np.ndarray:
-    """64-bit hashes of a text's different shingles, in order; a text of fewer words is one shingle."""
-    parts = text.lower().split()
-    k = min(words, len(parts))
+def _shingles(h: np.ndarray, words: int = STAGE_WORDS) -> np.ndarray:
+    k = min(words, len(h))
     if not k:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
+        return h
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
         out = (out ^ h[i : len(h) - k + 1 + i]) * _MULT
@@ -302,162 +324,238 @@ def shingle_set(text: bytes, words: int = STAGE_WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def prefix(own: np.ndarray, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of a set, least frequent first (``often`` tells how often the sorted ``common`` are), and how often they are.
+def shingle_set(text: bytes, words: int = STAGE_WORDS) -> np.ndarray:
+    """64-bit hashes of a text's different shingles, in order; a text of fewer words is one shingle."""
+    return _shingles(_word_hashes(text), words)
 
-    So many that sets alike at LIKE or more share one: they share ceil(LIKE n) of
-    either set's n, whatever the order, if only all sets are in the same one.
+
+def word_print(text: bytes) -> tuple[int, int, int, np.ndarray]:
+    """(SimHash of a text's different words, hash of its sequence of words, number n of its different shingles, tally of these).
+
+    The tally counts the shingles in CELLS cells by hash, modulo 16, two cells
+    in a byte; see :func:`apart`.
     """
-    n = np.zeros(len(own), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        n = np.where(common[at] == own, often[at], 0)
-    order = np.argsort(n, kind="stable")[: len(own) - math.ceil(LIKE * len(own) - 1e-6) + 1]
-    return own[order], n[order]
+    h = _word_hashes(text)
+    tally = np.zeros(CELLS // 2, np.uint8)
+    if not len(h):
+        return 0, 0, 0, tally
+    words, ones = np.unique(h), np.zeros(64, np.int64)
+    for at in range(0, len(words), 1 << 16):
+        ones += np.unpackbits(words[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    own = _shingles(h)
+    cells = np.bincount((own >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS) % 16
+    tally[:] = cells[::2] + 16 * cells[1::2]
+    return int(np.packbits(2 * ones > len(words), bitorder="little").view("<u8")[0]), xxhash.xxh3_64_intdigest(h.tobytes(), 1), len(own), tally
 
 
-def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles of one text the other has not, at least, by rows of their tallies: each cell's difference the shorter way round."""
+    low = ((a & 15) - (b & 15)) & 15
+    high = ((a >> 4) - (b >> 4)) & 15
+    return (np.minimum(low, 16 - low) + np.minimum(high, 16 - high)).sum(1, dtype=np.int64)
+
+
+_TALLY = tuple(f"__t{i}" for i in range(CELLS // 16))
+_PRINT = ("__fp", "__same", "__n", *_TALLY)
+
+
+def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingle_set(t or b"") for t in b.column("__text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["key"])
+        got = [word_print(t or b"") for t in b.column("__text").to_pylist()]
+        tally = np.array([g[3] for g in got], np.uint8).reshape(-1, CELLS // 2).view(np.int64)
+        cols = [np.array([_signed(g[k]) for g in got], np.int64) for k in range(3)] + list(tally.T)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in cols)], ["doc_id", *_PRINT])
+
+
+def _centres(radius: int):
+    """For every node of a bucket with others within the radius: the one of these that has most others itself."""
+
+    def centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, fp, node in _by_bucket(batches, ("__fp", "__node")):
+            fp, degree = fp.view(np.uint64), np.zeros(len(key), np.int64)
+            for a, b in _near(key, fp, radius):
+                degree[a] += 1
+                degree[b] += 1
+            order = np.lexsort((-node, degree))
+            rank, best = np.empty(len(key), np.int64), np.full(len(key), -1)
+            rank[order] = np.arange(len(key))
+            for a, b in _near(key, fp, radius):
+                best[a] = np.maximum(best[a], rank[b])
+                best[b] = np.maximum(best[b], rank[a])
+            own = np.flatnonzero(best >= 0)
+            other = order[best[own]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[own], node[other], degree[other])], ["src", "dst", "degree"])
+
+    return centres
+
+
+def _candidates(radius: int):
+    """Pairs of a bucket's nodes within the radius, not of one group, that their numbers of shingles and tallies do not rule out."""
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, fp, node, group, n, *tally in _by_bucket(batches, ("__fp", "__node", "group", "__n", *_TALLY)):
+            cells = np.ascontiguousarray(np.stack(tally, 1)).view(np.uint8)
+            for a, b in _near(key, fp.view(np.uint64), radius):
+                far = group[a] != group[b]
+                a, b = a[far], b[far]
+                if not len(a):
+                    continue
+                may = apart(cells[a], cells[b]) <= (1 - LIKE) / (1 + LIKE) * (n[a] + n[b]) + 1e-6
+                a, b = node[a[may]], node[b[may]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["src", "dst"])
+
+    return candidates
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each text, once for every block that it is sent to."""
+    kinds = {"block": pa.int64(), "part": pa.int64(), "member": pa.bool_(), "__node": pa.int64(), "shingles": pa.binary()}
+    rows: list[tuple] = []
+    held = 0
+    for b in batches:
+        for node, text, to in zip(b.column("__node").to_pylist(), b.column("__text").to_pylist(), b.column("to").to_pylist()):
+            own = shingle_set(text or b"").tobytes()
+            for x in to:
+                rows.append((x["block"], x["part"], x["block"] != node, node, own))
+                held += len(own) + 64
+                if held > SENT_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
+                    rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of a block whose shingles are alike to its head's, which stands first in each part."""
+    at, head = None, np.zeros(0, np.uint64)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("__node"), pa.array([shingle_set(t or b"").tobytes() for t in b.column("__text").to_pylist()], pa.binary())], ["__node", "shingles"])
+        src, dst = [], []
+        for block, part, member, node, x in zip(*(b.column(c).to_pylist() for c in ("block", "part", "member", "__node")), b.column("shingles")):
+            own = np.frombuffer(x.as_buffer(), np.uint64)
+            if not member:
+                at, head = (block, part), own.copy()
+            elif at == (block, part) and min(len(own), len(head)) >= LIKE * max(len(own), len(head)) - 1e-6:
+                both = len(np.intersect1d(own, head, assume_unique=True))
+                if both >= LIKE * (len(own) + len(head) - both) - 1e-9:
+                    src.append(node)
+                    dst.append(block)
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
-def shingle_keys(texts: DataFrame, most: int = BLOCK, one_of: int = ONE_OF) -> DataFrame:
-    """(key, part, parts, __node, n): the :func:`prefix` of every text of ``texts`` (__node, __text), of n shingles.
+def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (src, dst; each once) of ``texts`` (__node, __text) whose shingles, all of them, are alike at LIKE or more.
 
-    One text of ``one_of`` tells which shingles are common. They stand last, and
-    the texts of one that has about ``most`` or more are dealt into parts; both
-    are only for speed.
+    The shingles of src are sent to the block of dst, as are its own; a block of
+    many is dealt into parts of BLOCK, each with the shingles of dst.
     """
-    spark = texts.sparkSession
-    some = texts.where(F.pmod(F.xxhash64("__node"), F.lit(one_of)) == 0).select("__text").mapInArrow(_all_shingles, "key bigint")
-    found = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).orderBy(F.desc("n"), "key").limit(BROADCAST_KEYS).toArrow()
-    common, often = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(common)
-    sent = spark.sparkContext.broadcast((common[order], often[order]))
+    pairs = reliable(pairs)
+    sizes = pairs.groupBy("dst").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    members = pairs.join(sizes, "dst").select(F.col("src").alias("__node"), F.col("dst").alias("block"), F.pmod(F.xxhash64("src"), F.col("parts")).alias("part"))
+    heads = sizes.select(F.col("dst").alias("__node"), F.col("dst").alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    to = reliable(members.unionByName(heads).groupBy("__node").agg(F.collect_list(F.struct("block", "part")).alias("to")))
+    arrow_batches(texts.sparkSession)
+    sets = texts.join(few(to, 2 * pairs.count()), "__node").select("__node", "__text", "to").mapInArrow(_sent, "block bigint, part bigint, member boolean, __node bigint, shingles binary")
+    dealt = sets.repartition("block", "part").sortWithinPartitions("block", "part", "member")
+    return reliable(dealt.mapInArrow(_judged, "src bigint, dst bigint"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, often = sent.value
-        for b in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for node, text in zip(b.column("__node").to_pylist(), b.column("__text").to_pylist()):
-                own = shingle_set(text or b"")
-                if not len(own):
-                    continue
-                keys, n = prefix(own, common, often)
-                parts = np.maximum(1, -(-n * one_of // most))
-                deal = xxhash.xxh3_64_intdigest(node.to_bytes(8, "little", signed=True)) >> 1
-                for c, x in zip(cols, (keys.view(np.int64), deal % parts, parts, np.full(len(keys), node), np.full(len(keys), len(own)))):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*c, np.zeros(0, np.int64)]), pa.int64()) for c in cols], ["key", "part", "parts", "__node", "n"])
 
-    return texts.select("__node", "__text").mapInArrow(run, "key bigint, part bigint, parts bigint, __node bigint, n bigint")
+def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for t in b.column("__text").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t or b"").view(np.int64))], ["key"])
 
 
-def _shared(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """How many keys sets of n and m shingles, alike at LIKE or more, share at least.
+def prefix(own: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, least frequent first (``often`` tells how often the sorted ``common`` are).
 
-    They have LIKE / (1 + LIKE) of n + m shingles in common. The one whose
-    prefix ends first has all of these but those behind its prefix among the
-    keys of both.
+    So many that sets alike at LIKE or more share one: they share ceil(LIKE n) of
+    either set's n, whatever the order, if only all sets are in the same one.
     """
-    behind = np.ceil(LIKE * np.maximum(n, m) - 1e-6) - 1
-    return np.maximum(1, np.ceil((n + m) * (LIKE / (1 + LIKE)) - 1e-6) - behind).astype(np.int64)
+    n = np.zeros(len(own), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        n = np.where(common[at] == own, often[at], 0)
+    return own[np.argsort(n, kind="stable")[: len(own) - math.ceil(LIKE * len(own) - 1e-6) + 1]]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's texts (node, group, n) of sizes that may be alike and not of one group, each with :func:`_shared`."""
-    for b in batches:
-        out = [[np.zeros(0, np.int64)] for _ in range(3)]
-        for row in b.column("rows"):
-            node, group, n = (row.values.field(c).to_numpy() for c in ("__node", "group", "n"))
-            for i in range(len(node) - 1):
-                rest = n[i + 1 :]
-                may = (np.minimum(n[i], rest) >= LIKE * np.maximum(n[i], rest) - 1e-6) & (group[i + 1 :] != group[i])
-                if len(near := node[i + 1 :][may]):
-                    for c, x in zip(out, (np.maximum(near, node[i]), np.minimum(near, node[i]), _shared(n[i], rest[may]))):
-                        c.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], ["src", "dst", "least"])
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        good = []
-        for x, y in zip(b.column("x"), b.column("y")):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= LIKE * max(len(x), len(y)) - 1e-6 else 0
-            good.append(both / max(1, len(x) + len(y) - both) >= LIKE)
-        yield b.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
-
+def shingle_buckets(nodes: DataFrame, crowded: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """``nodes`` that are in ``crowded`` (__node, each once) once for each shingle of their :func:`prefix`, as its key.
 
-def few(rows: DataFrame) -> DataFrame:
-    """``rows`` to be sent to every executor, so that whole texts are not shuffled, unless there are too many."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else rows
+    Shingles of more than ``most`` texts stand last in all sets; up to
+    COMMON_KEYS of them are known to the driver. This order is only for speed.
+    """
+    spark = nodes.sparkSession
+    crowded = reliable(crowded)
+    body = texts.join(few(crowded), "__node", "left_semi").select("__node", "__text")
+    often = body.select("__text").mapInArrow(_all_shingles, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    found = often.orderBy(F.desc("n"), "key").limit(COMMON_KEYS).toArrow()
+    common = found.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(common)
+    sent = spark.sparkContext.broadcast((common[order], found.column("n").to_numpy()[order]))
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, text in zip(b.column("__node").to_pylist(), b.column("__text").to_pylist()):
+                own = prefix(shingle_set(text or b""), *sent.value)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), node))], ["key", "__node"])
 
-def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (src, dst) of ``texts`` (__node, __text) whose shingles, all of them, are alike at LIKE or more."""
-    pairs = reliable(pairs.distinct())
-    nodes = reliable(pairs.select(F.col("src").alias("__node")).unionByName(pairs.select(F.col("dst").alias("__node"))).distinct())
-    sets = texts.join(few(nodes), "__node", "left_semi").mapInArrow(_sets, "__node bigint, shingles binary")
-    both = pairs.join(sets.select(F.col("__node").alias("src"), F.col("shingles").alias("x")), "src").join(sets.select(F.col("__node").alias("dst"), F.col("shingles").alias("y")), "dst")
-    return reliable(both.select("src", "dst", "x", "y").mapInArrow(_alike, "src bigint, dst bigint"))
+    return dealt(nodes.join(body.mapInArrow(keys, "key bigint, __node bigint"), "__node").select("key", *nodes.columns), most)
 
 
-def near_copies(docs: DataFrame, most: int = BLOCK, one_of: int = ONE_OF) -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, most: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(nodes, links): one node for each different sequence of words in ``docs`` (doc_id, text), and for every
     node but the least of its group, that one.
 
-    Texts are linked if the Jaccard similarity of their shingles of five words
-    is LIKE or more. Every two of them share a key (:func:`shingle_keys`).
-    First a text is compared with the one that most of its keys have first,
-    which joins the groups of many copies; then with all others that are not of
-    its group and have as many keys in common as near copies must.
+    Texts are linked if the SimHashes of their different words share a bucket,
+    as all within STAGE_RADIUS bits do and most that differ in a few more, and
+    the Jaccard similarity of their shingles of five words is LIKE or more.
+    First each text is held against a centre near it, found in a few of the
+    tables, which joins the groups of many copies; then against all others
+    in its buckets that are not of its group. Texts of buckets with more
+    than ``most`` of them, of several groups, meet by shingles that they must
+    have in common (:func:`shingle_buckets`).
     """
-    arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow_batches(spark)
     body = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("__text"))
-    prints = reliable(body.mapInArrow(_word_prints, "doc_id bigint, __fp bigint, __same bigint"))
-    nodes = reliable(prints.groupBy("__same", "__fp").agg(F.min("doc_id").alias("__node"))).select("__node").distinct()
-    copies = reliable(prints.select(F.col("doc_id").alias("__node")).join(nodes, "__node", "left_anti").distinct())
-    rows = body.withColumnRenamed("doc_id", "__node").join(few(copies), "__node", "left_anti")
-    own = Window.partitionBy("key", "part")
-    met = shingle_keys(rows, most, one_of).withColumn("first", F.min(F.struct("__node", "n")).over(own)).withColumn("size", F.count(F.lit(1)).over(own))
-    met = reliable(met.where("size > 1 OR parts > 1").drop("size"))
-    firsts = met.where("parts > 1").groupBy("key").agg(F.min("first").alias("least"), F.collect_set("first").alias("all"))
-    stars = met.select(F.struct("__node", "n").alias("a"), F.col("first").alias("b")).unionByName(firsts.select(F.explode("all").alias("a"), F.col("least").alias("b")))
-    stars = stars.where("a.__node <> b.__node").groupBy(F.col("a.__node").alias("src"), F.col("b.__node").alias("dst")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("a.n") + F.col("b.n")).alias("sum"), F.max(F.greatest("a.n", "b.n")).alias("max"))
-    stars = stars.where(F.col("n") >= LIKE / (1 + LIKE) * F.col("sum") - LIKE * F.col("max"))
-    links = alike(stars.groupBy("src").agg(F.max_by("dst", F.struct("n", F.negative("dst"))).alias("dst")), rows)
-    ends = components(links).select(F.col("src").alias("__node"), F.col("dst").alias("group"))
-    held = met.drop("first").join(ends, "__node", "left").withColumn("group", F.coalesce("group", "__node"))
-    several = held.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("key")
-    held = held.join(several, "key", "left_semi")
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))  # every two parts meet
-    held = held.groupBy("key", F.least("part", "other").alias("part"), F.greatest("part", "other").alias("other")).agg(F.collect_list(F.struct("__node", "group", "n")).alias("rows"))
-    pairs = held.where(F.size("rows") > 1).select("rows").mapInArrow(_candidates, "src bigint, dst bigint, least bigint")
-    pairs = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("src", "dst")
-    more = alike(pairs, rows)
-    return nodes, components(links.unionByName(more))
+    prints = body.mapInArrow(_word_prints, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in _PRINT))
+    kinds = prints.groupBy("__same", "__fp", "__n").agg(F.min("doc_id").alias("__node"), *[F.first(c).alias(c) for c in _TALLY])
+    nodes = _spread(reliable(kinds.drop("__same")))
+    texts = body.withColumnRenamed("doc_id", "__node")
+    first = _keys(nodes.select("__fp", "__node"), tables(STAGE_RADIUS)[::CENTRE_TABLES], 0)
+    sizes = reliable(first.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")).where("parts > 1"))
+    if n := sizes.limit(BROADCAST_NODES + 1).count():  # whatever lies apart here meets below
+        first = first.join(few(sizes, n), "key", "left").withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("__node", "key"), F.coalesce("parts", F.lit(1)))))
+    centres = sorted_buckets(first.select("key", "__fp", "__node")).mapInArrow(_centres(FAR), "src bigint, dst bigint, degree bigint")
+    stars = alike(centres.groupBy("src").agg(F.max_by("dst", F.struct("degree", F.negative("dst"))).alias("dst")), texts)
+    ends = components(stars).select(F.col("src").alias("__node"), F.col("dst").alias("group"))
+    held = nodes.join(few(ends), "__node", "left").select("__fp", "__node", F.coalesce("group", "__node").alias("group"), "__n", *_TALLY)
+    met, rest = buckets(held, STAGE_RADIUS, most, 1)
+    if rest is not None:
+        met = met.unionByName(shingle_buckets(held, rest.select("__node").distinct(), texts, most))
+    pairs = sorted_buckets(met).mapInArrow(_candidates(FAR), "src bigint, dst bigint")
+    more = alike(pairs.distinct(), texts)
+    return nodes.select("__node"), components(stars.unionByName(more))
 
 
 def keep_firsts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: of every group of exact and near copies (:func:`near_copies`), the document of the smallest doc_id.
 
-    Texts without a word are one group. A repeated doc_id is one document, of
-    which one row stays; documents without a doc_id stay.
+    Texts without a word are one group. Of rows that share a doc_id one is the
+    document, that of the least hash of its text (then the least text); documents without a doc_id stay.
     """
     cols = docs.columns
-    nodes, ends = near_copies(docs)
-    firsts = nodes.join(ends.select(F.col("src").alias("__node")), "__node", "left_anti").select(F.col("__node").alias("doc_id"))
-    known = docs.where(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left_semi")
+    known = docs.where(F.col("doc_id").isNotNull())
     if known.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        known = known.dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where(F.col("doc_id").isNull())).select(*cols)
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+        own = [F.col(c).alias(f"c{i}") for i, c in enumerate(cols)]
+        ranked = known.select(*own, "doc_id", "text").withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
+        known = ranked.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
+    nodes, ends = near_copies(known)
+    firsts = nodes.join(few(ends.select(F.col("src").alias("__node"))), "__node", "left_anti").select(F.col("__node").alias("__first"))
+    kept = known.join(few(firsts), known["doc_id"] == firsts["__first"], "left_semi")
+    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*cols)
 
 
 QUERIES = {"op4_covering_simhash": op4_covering_simhash}
