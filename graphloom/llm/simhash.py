@@ -33,7 +33,7 @@ STAGE_WORDS, LIKE, STAGE_RADIUS, FAR = 5, 0.8, 9, 18
 #: A bucket of more rows is covered again, by so many levels at most; then it is dealt into parts.
 BUCKET, LEVELS = 4096, 4
 #: Cells of a tally of shingles; one table of how many serves to find centres; members of a block's part.
-CELLS, CENTRE_TABLES, BLOCK = 32, 6, 1024
+CELLS, CENTRE_TABLES, BLOCK = 128, 6, 1024
 #: Rows of ids that are sent to every executor; frequent shingles that are known to it.
 BROADCAST_NODES, COMMON_KEYS = 500_000, 100_000
 #: Rows of numbers, and bytes of shingles, in an Arrow batch.
@@ -332,80 +332,81 @@ def shingle_set(text: bytes, words: int = STAGE_WORDS) -> np.ndarray:
 def word_print(text: bytes) -> tuple[int, int, int, np.ndarray]:
     """(SimHash of a text's different words, hash of its sequence of words, number n of its different shingles, tally of these).
 
-    The tally counts the shingles in CELLS cells by hash, modulo 16, two cells
-    in a byte; see :func:`apart`.
+    The tally counts the shingles in CELLS cells by hash, modulo 4: the low
+    bits of all cells, then the high ones; see :func:`apart`.
     """
     h = _word_hashes(text)
-    tally = np.zeros(CELLS // 2, np.uint8)
+    tally = np.zeros(CELLS // 32, np.int64)
     if not len(h):
         return 0, 0, 0, tally
     words, ones = np.unique(h), np.zeros(64, np.int64)
     for at in range(0, len(words), 1 << 16):
         ones += np.unpackbits(words[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     own = _shingles(h)
-    cells = np.bincount((own >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS) % 16
-    tally[:] = cells[::2] + 16 * cells[1::2]
+    cells = np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=CELLS)
+    tally[:] = np.packbits([cells & 1, cells >> 1 & 1]).view(np.int64)
     return int(np.packbits(2 * ones > len(words), bitorder="little").view("<u8")[0]), xxhash.xxh3_64_intdigest(h.tobytes(), 1), len(own), tally
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many shingles of one text the other has not, at least, by rows of their tallies: each cell's difference the shorter way round."""
-    low = ((a & 15) - (b & 15)) & 15
-    high = ((a >> 4) - (b >> 4)) & 15
-    return (np.minimum(low, 16 - low) + np.minimum(high, 16 - high)).sum(1, dtype=np.int64)
+    x, half = (a ^ b).view(np.uint64), a.shape[1] // 2
+    return (np.bitwise_count(x[:, :half]).astype(np.int64) + 2 * np.bitwise_count(x[:, half:] & ~x[:, :half])).sum(1)
 
 
-_TALLY = tuple(f"__t{i}" for i in range(CELLS // 16))
+def may_be_alike(n: np.ndarray, m: np.ndarray, tally: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """False where the numbers of shingles or the tallies rule out a similarity of LIKE."""
+    may = np.minimum(n, m) >= LIKE * np.maximum(n, m) - 1e-6
+    may[may] = apart(tally[may], other[may]) <= (1 - LIKE) / (1 + LIKE) * (n[may] + m[may]) + 1e-6
+    return may
+
+
+_TALLY = tuple(f"__t{i}" for i in range(CELLS // 32))
 _PRINT = ("__fp", "__same", "__n", *_TALLY)
 
 
 def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [word_print(t or b"") for t in b.column("__text").to_pylist()]
-        tally = np.array([g[3] for g in got], np.uint8).reshape(-1, CELLS // 2).view(np.int64)
+        tally = np.array([g[3] for g in got], np.int64).reshape(-1, len(_TALLY))
         cols = [np.array([_signed(g[k]) for g in got], np.int64) for k in range(3)] + list(tally.T)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in cols)], ["doc_id", *_PRINT])
 
 
-def _centres(radius: int):
-    """For every node of a bucket with others within the radius: the one of these that has most others itself."""
-
-    def centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, fp, node in _by_bucket(batches, ("__fp", "__node")):
-            fp, degree = fp.view(np.uint64), np.zeros(len(key), np.int64)
-            for a, b in _near(key, fp, radius):
-                degree[a] += 1
-                degree[b] += 1
-            order = np.lexsort((-node, degree))
-            rank, best = np.empty(len(key), np.int64), np.full(len(key), -1)
-            rank[order] = np.arange(len(key))
-            for a, b in _near(key, fp, radius):
-                best[a] = np.maximum(best[a], rank[b])
-                best[b] = np.maximum(best[b], rank[a])
-            own = np.flatnonzero(best >= 0)
-            other = order[best[own]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[own], node[other], degree[other])], ["src", "dst", "degree"])
-
-    return centres
-
-
-def _candidates(radius: int):
-    """Pairs of a bucket's nodes within the radius, not of one group, that their numbers of shingles and tallies do not rule out."""
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, fp, node, group, n, *tally in _by_bucket(batches, ("__fp", "__node", "group", "__n", *_TALLY)):
-            cells = np.ascontiguousarray(np.stack(tally, 1)).view(np.uint8)
-            for a, b in _near(key, fp.view(np.uint64), radius):
-                far = group[a] != group[b]
-                a, b = a[far], b[far]
-                if not len(a):
-                    continue
-                may = apart(cells[a], cells[b]) <= (1 - LIKE) / (1 + LIKE) * (n[a] + n[b]) + 1e-6
-                a, b = node[a[may]], node[b[may]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["src", "dst"])
-
-    return candidates
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every node of a bucket with others that it may be alike to, within STAGE_RADIUS: the one of these that has most others itself."""
+    for key, fp, node, n, *tally in _by_bucket(batches, ("__fp", "__node", "__n", *_TALLY)):
+        fp, tally = fp.view(np.uint64), np.stack(tally, 1)
+        degree, rank, best = np.zeros(len(key), np.int64), np.empty(len(key), np.int64), np.full(len(key), -1)
+        for counted in (False, True):
+            for a, b in _near(key, fp, STAGE_RADIUS):
+                may = may_be_alike(n[a], n[b], tally[a], tally[b])
+                a, b = a[may], b[may]
+                if counted:
+                    best[a] = np.maximum(best[a], rank[b])
+                    best[b] = np.maximum(best[b], rank[a])
+                else:
+                    degree[a] += 1
+                    degree[b] += 1
+            if not counted:
+                order = np.lexsort((-node, degree))
+                rank[order] = np.arange(len(key))
+        own = np.flatnonzero(best >= 0)
+        other = order[best[own]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[own], node[other], degree[other])], ["src", "dst", "degree"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket's nodes within FAR bits, not of one group, that may be alike."""
+    for key, fp, node, group, n, *tally in _by_bucket(batches, ("__fp", "__node", "group", "__n", *_TALLY)):
+        tally = np.stack(tally, 1)
+        for a, b in _near(key, fp.view(np.uint64), FAR):
+            other = group[a] != group[b]
+            a, b = a[other], b[other]
+            may = may_be_alike(n[a], n[b], tally[a], tally[b])
+            a, b = node[a[may]], node[b[may]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["src", "dst"])
 
 
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -523,18 +524,18 @@ def near_copies(docs: DataFrame, most: int = BUCKET) -> tuple[DataFrame, DataFra
     kinds = prints.groupBy("__same", "__fp", "__n").agg(F.min("doc_id").alias("__node"), *[F.first(c).alias(c) for c in _TALLY])
     nodes = _spread(reliable(kinds.drop("__same")))
     texts = body.withColumnRenamed("doc_id", "__node")
-    first = _keys(nodes.select("__fp", "__node"), tables(STAGE_RADIUS)[::CENTRE_TABLES], 0)
+    first = _keys(nodes, tables(STAGE_RADIUS)[::CENTRE_TABLES], 0)
     sizes = reliable(first.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")).where("parts > 1"))
     if n := sizes.limit(BROADCAST_NODES + 1).count():  # whatever lies apart here meets below
         first = first.join(few(sizes, n), "key", "left").withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("__node", "key"), F.coalesce("parts", F.lit(1)))))
-    centres = sorted_buckets(first.select("key", "__fp", "__node")).mapInArrow(_centres(FAR), "src bigint, dst bigint, degree bigint")
+    centres = sorted_buckets(first.select("key", *nodes.columns)).mapInArrow(_centres, "src bigint, dst bigint, degree bigint")
     stars = alike(centres.groupBy("src").agg(F.max_by("dst", F.struct("degree", F.negative("dst"))).alias("dst")), texts)
     ends = components(stars).select(F.col("src").alias("__node"), F.col("dst").alias("group"))
     held = nodes.join(few(ends), "__node", "left").select("__fp", "__node", F.coalesce("group", "__node").alias("group"), "__n", *_TALLY)
     met, rest = buckets(held, STAGE_RADIUS, most, 1)
     if rest is not None:
         met = met.unionByName(shingle_buckets(held, rest.select("__node").distinct(), texts, most))
-    pairs = sorted_buckets(met).mapInArrow(_candidates(FAR), "src bigint, dst bigint")
+    pairs = sorted_buckets(met).mapInArrow(_candidates, "src bigint, dst bigint")
     more = alike(pairs.distinct(), texts)
     return nodes.select("__node"), components(stars.unionByName(more))
 
