@@ -29,7 +29,7 @@ from .common import arrow_batches, reliable, table
 BITS, RADIUS, WORDS = 64, 4, 4
 #: The pipeline's stage: shingles of five words, a similarity of 0.8; differing bits of the words' SimHashes that are sure to meet, and
 #: those above which a pair that meets is not compared (unlike texts differ in 32, texts alike at 0.8 in 10 at most, give or take 3).
-STAGE_WORDS, LIKE, STAGE_RADIUS, FAR = 5, 0.8, 9, 18
+STAGE_WORDS, LIKE, STAGE_RADIUS, FAR = 5, 0.8, 9, 14
 #: A bucket of more rows is covered again, by so many levels at most; then it is dealt into parts.
 BUCKET, LEVELS = 4096, 4
 #: Cells of a tally of shingles; one table of how many serves to find centres; members of a block's part.
@@ -37,7 +37,7 @@ CELLS, CENTRE_TABLES, BLOCK = 128, 6, 1024
 #: Rows of ids that are sent to every executor; frequent shingles that are known to it.
 BROADCAST_NODES, COMMON_KEYS = 500_000, 100_000
 #: Rows of numbers, and bytes of shingles, in an Arrow batch.
-NUMBER_ROWS, SENT_BYTES = 1 << 15, 1 << 22
+NUMBER_ROWS, SENT_BYTES = 1 << 14, 1 << 22
 _MASK = (1 << 64) - 1
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -409,56 +409,103 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["src", "dst"])
 
 
-def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of each text, once for every block that it is sent to."""
+def cells_of(own: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles modulo 4, in as many cells as it has shingles or half as many."""
+    bits = max(2, len(own).bit_length() - 1)
+    return (np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 3).astype(np.uint8)
+
+
+def _packed(own: np.ndarray) -> bytes:
+    c = cells_of(own)
+    return np.int64(len(own)).tobytes() + (c[::4] | c[1::4] << 2 | c[2::4] << 4 | c[3::4] << 6).tobytes()
+
+
+def _unpacked(x: np.ndarray) -> tuple[int, np.ndarray]:
+    return int(x[:8].view(np.int64)[0]), np.stack([x[8:] >> k & 3 for k in (0, 2, 4, 6)], 1).ravel()
+
+
+def cells_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """How many shingles of one set the other has not, at least, by the :func:`cells_of` both."""
+    while len(a) != len(b):
+        a, b = (a.reshape(-1, 2).sum(1) & 3, b) if len(a) > len(b) else (a, b.reshape(-1, 2).sum(1) & 3)
+    d = (a.astype(np.int8) - b.astype(np.int8)) & 3
+    return int(np.minimum(d, 4 - d).sum(dtype=np.int64))
+
+
+def _sent(exact: bool):
+    """What stands for each text's shingles, once for every block that it is sent to: all of them, or their cells."""
     kinds = {"block": pa.int64(), "part": pa.int64(), "member": pa.bool_(), "__node": pa.int64(), "shingles": pa.binary()}
-    rows: list[tuple] = []
-    held = 0
-    for b in batches:
-        for node, text, to in zip(b.column("__node").to_pylist(), b.column("__text").to_pylist(), b.column("to").to_pylist()):
-            own = shingle_set(text or b"").tobytes()
-            for x in to:
-                rows.append((x["block"], x["part"], x["block"] != node, node, own))
-                held += len(own) + 64
-                if held > SENT_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
-                    rows, held = [], 0
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
-
-
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of a block whose shingles are alike to its head's, which stands first in each part."""
-    at, head = None, np.zeros(0, np.uint64)
-    for b in batches:
-        src, dst = [], []
-        for block, part, member, node, x in zip(*(b.column(c).to_pylist() for c in ("block", "part", "member", "__node")), b.column("shingles")):
-            own = np.frombuffer(x.as_buffer(), np.uint64)
-            if not member:
-                at, head = (block, part), own.copy()
-            elif at == (block, part) and min(len(own), len(head)) >= LIKE * max(len(own), len(head)) - 1e-6:
-                both = len(np.intersect1d(own, head, assume_unique=True))
-                if both >= LIKE * (len(own) + len(head) - both) - 1e-9:
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for b in batches:
+            for node, text, to in zip(b.column("__node").to_pylist(), b.column("__text").to_pylist(), b.column("to").to_pylist()):
+                own = shingle_set(text or b"")
+                own = own.tobytes() if exact else _packed(own)
+                for x in to:
+                    rows.append((x["block"], x["part"], x["block"] != node, node, own))
+                    held += len(own) + 64
+                    if held > SENT_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
+
+    return sent
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    if min(len(a), len(b)) < LIKE * max(len(a), len(b)) - 1e-6:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= LIKE * (len(a) + len(b) - both) - 1e-9
+
+
+def _perhaps(a: np.ndarray, b: np.ndarray) -> bool:
+    (n, x), (m, y) = _unpacked(a), _unpacked(b)
+    return min(n, m) >= LIKE * max(n, m) - 1e-6 and cells_apart(x, y) <= (1 - LIKE) / (1 + LIKE) * (n + m) + 1e-6
+
+
+def _judged(exact: bool):
+    """Members of a block that are alike (or may be) to its head, which stands first in each part."""
+    good = _alike if exact else _perhaps
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, head = None, np.zeros(0, np.uint8)
+        for b in batches:
+            src, dst = [], []
+            for block, part, member, node, x in zip(*(b.column(c).to_pylist() for c in ("block", "part", "member", "__node")), b.column("shingles")):
+                own = np.frombuffer(x.as_buffer(), np.uint8)
+                if not member:
+                    at, head = (block, part), own.copy()
+                elif at == (block, part) and good(own.copy(), head):
                     src.append(node)
                     dst.append(block)
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
+    return judged
 
-def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (src, dst; each once) of ``texts`` (__node, __text) whose shingles, all of them, are alike at LIKE or more.
 
-    The shingles of src are sent to the block of dst, as are its own; a block of
-    many is dealt into parts of BLOCK, each with the shingles of dst.
-    """
-    pairs = reliable(pairs)
+def _met(pairs: DataFrame, texts: DataFrame, exact: bool) -> DataFrame:
+    """Those of ``pairs`` that :func:`_judged` leaves: src is sent to the block of dst, as is dst itself; a block of many is dealt into parts of BLOCK, each with dst."""
     sizes = pairs.groupBy("dst").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     members = pairs.join(sizes, "dst").select(F.col("src").alias("__node"), F.col("dst").alias("block"), F.pmod(F.xxhash64("src"), F.col("parts")).alias("part"))
     heads = sizes.select(F.col("dst").alias("__node"), F.col("dst").alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
     to = reliable(members.unionByName(heads).groupBy("__node").agg(F.collect_list(F.struct("block", "part")).alias("to")))
     arrow_batches(texts.sparkSession)
-    sets = texts.join(few(to, 2 * pairs.count()), "__node").select("__node", "__text", "to").mapInArrow(_sent, "block bigint, part bigint, member boolean, __node bigint, shingles binary")
-    dealt = sets.repartition("block", "part").sortWithinPartitions("block", "part", "member")
-    return reliable(dealt.mapInArrow(_judged, "src bigint, dst bigint"))
+    sets = texts.join(few(to, 2 * pairs.count()), "__node").select("__node", "__text", "to").mapInArrow(_sent(exact), "block bigint, part bigint, member boolean, __node bigint, shingles binary")
+    rows = sets.repartition("block", "part").sortWithinPartitions("block", "part", "member")
+    return reliable(rows.mapInArrow(_judged(exact), "src bigint, dst bigint"))
+
+
+def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (src, dst; each once) of ``texts`` (__node, __text) whose shingles, all of them, are alike at LIKE or more.
+
+    Cells, of a fiftieth of the size, rule out most others before the shingles are compared.
+    """
+    return _met(_met(reliable(pairs), texts, False), texts, True)
 
 
 def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

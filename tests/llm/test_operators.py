@@ -411,6 +411,10 @@ def test_a_tally_bounds_the_difference():
         (_, _, n, t), (_, _, m, u) = (simhash.word_print(" ".join(x).encode()) for x in (a, b))
         x, y = shingles(" ".join(a)), shingles(" ".join(b))
         assert (n, m) == (len(x), len(y)) and simhash.apart(t[None], u[None])[0] <= len(x ^ y)
+        p, q = (simhash.shingle_set(" ".join(z).encode()) for z in (a, b))
+        assert simhash.cells_apart(simhash.cells_of(p), simhash.cells_of(q)) <= len(x ^ y)
+        k, cells = simhash._unpacked(np.frombuffer(simhash._packed(p), np.uint8).copy())
+        assert k == n and (cells == simhash.cells_of(p)).all()
 
 
 def test_a_doc_id_of_several_texts_is_one_document(spark):
