@@ -28,7 +28,7 @@ SIZE = 2048
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words that a worker keeps; beyond, it keeps the first quarter.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 100_000
 
 
 class Tokens:
