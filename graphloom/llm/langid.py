@@ -10,6 +10,7 @@ largest corrected count decides.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -18,15 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, table
+from .common import arrow_batches, reliable, table
 
 N, SLOTS_LOG2, PROBES = 4, 20, 2
 SLOTS = 1 << SLOTS_LOG2
-#: Learning takes about so many labelled rows at most, drawn by a hash of the row; prediction takes all rows.
+#: Learning takes about so many labelled rows at most, drawn by a hash of the row, as many of every language that has so many; prediction takes all rows.
 LEARN_ROWS = 20_000
-#: An n-gram belongs to a language if it has so many rows there, and so large a part of its rate where it is most frequent.
-LEAST_ROWS, LEAST_RATE = 3, 0.2
-MAX_LANGUAGES = 63
+#: An n-gram belongs to a language if it has so many rows there, and so large a part of its rate where it is most frequent; a language's model has so many n-grams at most.
+LEAST_ROWS, LEAST_RATE, MODEL_GRAMS = 3, 0.2, 200_000
+#: Languages in one word of a mask; a filter has as many words as it needs.
+WORD_LANGUAGES = 63
 #: Code points that are looked up at a time, so that a very long text needs no more memory.
 CHUNK = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -34,18 +36,19 @@ _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @cache
-def _letters() -> np.ndarray:
-    """Code points below 0x30000: whether they are letters (marks of scripts included); those above count as letters."""
-    return np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point, whether it is a letter, and whether it is a letter or a mark on one (as vowel signs are)."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+    return np.array([k == "L" for k in kinds]), np.array([k in "LM" for k in kinds])
 
 
 def _codes(text: str) -> np.ndarray:
-    """Lower-cased code points with every run of others than letters as one 0, and one 0 at either end; empty without a letter."""
+    """Lower-cased code points with every run of others than letters and marks as one 0, and one 0 at either end; empty without a letter."""
     a = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    low = np.minimum(a, 0x2FFFF)
-    a = np.where(_letters()[low] | (a > 0x2FFFF), a, 0)
-    if not a.any():
+    letter, kept = _letters()
+    if not letter[a].any():
         return a[:0]
+    a = np.where(kept[a], a, 0)
     a = np.concatenate(([0], a, [0])).astype(np.uint32)
     return a[np.concatenate(([True], (a[1:] != 0) | (a[:-1] != 0)))]
 
@@ -68,18 +71,20 @@ def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Filters:
-    """The filters of languages, and the rates of their false positives."""
+    """The filters of languages, most frequent first, and the rates of their false positives. ``masks`` has WORD_LANGUAGES languages in each column."""
 
     def __init__(self, languages: list[str], masks: np.ndarray):
         self.languages, self.masks = languages, masks
-        fill = np.array([float(((masks >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))])
+        self.bits = [(i // WORD_LANGUAGES, np.uint64(1 << i % WORD_LANGUAGES)) for i in range(len(languages))]
+        fill = np.array([np.count_nonzero(masks[:, w] & bit) / SLOTS for w, bit in self.bits])
         self.false = np.minimum(fill**PROBES, 0.999)
 
     def predict(self, text: str | None) -> tuple[str, float, int]:
         """(language, score, n-grams). Without a letter, or without languages: und, 0.
 
-        The score is the winner's corrected share of the n-grams. Equal counts
-        give the first language by name.
+        The score is the winner's corrected share of the n-grams. Equal shares
+        give the language of more rows, then the first by name; so does a text
+        of which no language holds an n-gram, with score 0.
         """
         codes = _codes(text or "")
         if not len(codes) or not self.languages:
@@ -90,7 +95,7 @@ class Filters:
             a, b = _slots(h)
             m = self.masks[a.astype(np.int64)] & self.masks[b.astype(np.int64)]
             n += len(m)
-            hits += [np.count_nonzero(m & np.uint64(1 << i)) for i in range(len(hits))]
+            hits += [np.count_nonzero(m[:, w] & bit) for w, bit in self.bits]
         right = np.clip((hits / n - self.false) / (1 - self.false), 0, 1)
         best = int(right.argmax())
         return self.languages[best], float(right[best]), n
@@ -126,30 +131,42 @@ def learn(labelled: DataFrame, learn_rows: int = LEARN_ROWS) -> Filters:
     """Filters from the rows of ``labelled`` (lang, text, doc_id).
 
     Rows with a null lang teach nothing. A hash of the row chooses about
-    ``learn_rows`` of them; the counts of their n-grams are summed by the
-    executors, and the driver gets the n-grams that pass, which the number of
-    learned rows bounds. More than MAX_LANGUAGES: the most frequent.
+    ``learn_rows``: all of the languages of few rows, an equal number of the
+    others. The counts of their n-grams are summed by the executors; the driver
+    gets those that pass, MODEL_GRAMS of the most frequent for each language.
     """
     arrow_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    languages = sorted(sizes)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(sizes, key=lambda k: (-sizes[k], k))
     if not languages:
-        return Filters([], np.zeros(SLOTS, np.uint64))
-    share = min(1.0, learn_rows / sum(sizes.values()))
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    sums = rows.where(F.col("lang").isin(*languages)).select("lang", "text").mapInArrow(_learn, "lang string, gram bigint, rows bigint")
-    sums = sums.groupBy("gram", "lang").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= LEAST_ROWS)
-    docs_of = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(float(n)))])
-    rated = sums.withColumn("rate", F.col("rows") / docs_of[F.col("lang")])
-    by = rated.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("lang", "rate")).alias("in"))
-    bits = F.aggregate("in", F.lit(0).cast("bigint"), lambda m, x: m + F.when(x["rate"] >= LEAST_RATE * F.col("most"), F.create_map(*[y for i, k in enumerate(languages) for y in (F.lit(k), F.lit(1 << i))])[x["lang"]].cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    got = by.select("gram", bits.alias("mask")).toArrow()
-    gram, mask = got.column("gram").to_numpy().view(np.uint64), got.column("mask").to_numpy().astype(np.uint64)
-    masks = np.zeros(SLOTS, np.uint64)
+        return Filters([], np.zeros((SLOTS, 1), np.uint64))
+    left, drawn = float(learn_rows), {}
+    for i, k in enumerate(reversed(languages)):  # what small languages leave goes to the larger ones
+        drawn[k] = min(float(sizes[k]), left / (len(languages) - i))
+        left -= drawn[k]
+    spark = labelled.sparkSession
+    shares = F.broadcast(spark.createDataFrame([(k, drawn[k] / sizes[k]) for k in languages], "lang string, share double"))
+    rows = rows.join(shares.select("lang", "share"), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30))
+    sums = rows.select("lang", "text").mapInArrow(_learn, "lang string, gram bigint, rows bigint")
+    sums = reliable(sums.groupBy("gram", "lang").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= LEAST_ROWS))
+    least = dict.fromkeys(languages, 0)
+    seen = dict.fromkeys(languages, 0)
+    for r in sums.groupBy("lang", "rows").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", F.desc("rows")).toLocalIterator():
+        seen[r["lang"]] += r["n"]  # an n-gram that is too many, and those that are no more frequent, are left out
+        if seen[r["lang"]] > MODEL_GRAMS and not least[r["lang"]]:
+            least[r["lang"]] = r["rows"] + 1
+    floors = F.broadcast(spark.createDataFrame([(k, i, drawn[k], least[k]) for i, k in enumerate(languages)], "lang string, place int, drawn double, least bigint"))
+    rated = sums.join(floors, "lang").where("rows >= least").withColumn("rate", F.col("rows") / F.col("drawn"))
+    most = rated.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("place", "rate")).alias("in"))
+    got = most.select("gram", F.transform(F.filter("in", lambda x: x["rate"] >= LEAST_RATE * F.col("most")), lambda x: x["place"]).alias("places")).toArrow()
+    gram = got.column("gram").to_numpy().view(np.uint64)
+    lists = got.column("places").combine_chunks()
+    of = np.repeat(np.arange(len(gram)), np.asarray(lists.value_lengths()))
+    place = np.asarray(lists.flatten()).astype(np.int64)
+    masks = np.zeros((SLOTS, -(-len(languages) // WORD_LANGUAGES)), np.uint64)
     for s in _slots(gram):
-        np.bitwise_or.at(masks, s.astype(np.int64), mask)
+        np.bitwise_or.at(masks, (s.astype(np.int64)[of], place // WORD_LANGUAGES), np.uint64(1) << (place % WORD_LANGUAGES).astype(np.uint64))
     return Filters(languages, masks)
 
 
@@ -194,7 +211,12 @@ LEAST_SCORE = 0.2
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: the documents that are in one of the learned languages."""
+    """Stage: the documents that are in one of the learned languages.
+
+    Null texts and texts without a letter go, rows that are repeated are judged
+    each, a null lang only teaches nothing; where no row has a lang, and in an
+    empty table, nothing is learned and all stay. All columns are kept, of any name.
+    """
     cols = docs.columns
     filters = learn(docs)
     if not filters.languages:

@@ -249,7 +249,7 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_all(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: the packed pieces of all documents."""
+    """Stage: the packed pieces of all documents; see :func:`pack_documents` for nulls, repeated rows and empty tables. Only doc_id and text are read."""
     return _packed(docs)
 
 

@@ -113,7 +113,11 @@ def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: the documents that the rules and their host's verdict keep."""
+    """Stage: the documents that the rules and their host's verdict keep.
+
+    Null and empty texts go, a null source is a host, repeated rows are judged
+    each; an empty table stays one. All columns are kept, of any name.
+    """
     cols = docs.columns
     own = [f"c{i}" for i in range(len(cols))]  # a column of the documents may bear any name
     renamed = docs.select(*[F.col(c).alias(o) for c, o in zip(cols, own)], "text", "source")
