@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; texts can be long, so a batch stays at some MB.
 BATCH_ROWS = 512
+#: Rows of a few numbers that are sent to every executor.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,12 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """``rows`` to be sent to every executor if there are at most BROADCAST_ROWS of them (``n``, if known), else as they are."""
+    n = rows.limit(BROADCAST_ROWS + 1).count() if n is None else n
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

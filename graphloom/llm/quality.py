@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, beta_strength, reliable, table
+from .common import arrow_batches, beta_strength, few, reliable, table
 
 #: Characters that count as symbols (fixed values).
 SYMBOLS = b"#*$%&|<>"
@@ -101,7 +101,7 @@ def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> Dat
     a null source is a host of its own; an empty table gives no rows.
     """
     rows = reliable(measured(docs, keep))
-    hosts = host_verdicts(rows)
+    hosts = few(reliable(host_verdicts(rows)))
     out = rows.join(hosts, rows["source"].eqNullSafe(hosts["__host"]), "left").drop("__host")
     gone = F.col("base_failed") | (F.col("host_low") > HOST_OUT) | ((F.col("host_low") > HOST_STRICT) & (F.col("n_failed") > 0))
     return out.withColumn("kept", ~F.coalesce(gone, F.col("base_failed")))

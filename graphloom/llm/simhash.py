@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, reliable, table
+from .common import BROADCAST_ROWS, arrow_batches, few, reliable, table
 
 BITS, RADIUS, WORDS = 64, 4, 4
 #: The pipeline's stage: shingles of five words, a similarity of 0.8; differing bits of the words' SimHashes that are sure to meet, and
@@ -34,8 +34,8 @@ STAGE_WORDS, LIKE, STAGE_RADIUS, FAR = 5, 0.8, 9, 14
 BUCKET, LEVELS = 4096, 4
 #: Cells of a tally of shingles; one table of how many serves to find centres; members of a block's part.
 CELLS, CENTRE_TABLES, BLOCK = 128, 6, 1024
-#: Rows of ids that are sent to every executor; frequent shingles that are known to it.
-BROADCAST_NODES, COMMON_KEYS = 500_000, 100_000
+#: Frequent shingles that are known to every executor.
+COMMON_KEYS = 100_000
 #: Rows of numbers, and bytes of shingles, in an Arrow batch.
 NUMBER_ROWS, SENT_BYTES = 1 << 14, 1 << 22
 _MASK = (1 << 64) - 1
@@ -115,16 +115,10 @@ def _keys(rows: DataFrame, masks: tuple[int, ...], seed: int) -> DataFrame:
     return cut.select(*cols, F.xxhash64(*before, "__t.v", F.col("__fp").bitwiseAND(F.col("__t.m"))).alias("key"))
 
 
-def few(rows: DataFrame, n: int | None = None) -> DataFrame:
-    """``rows`` to be sent to every executor if there are at most BROADCAST_NODES of them, else as they are."""
-    n = rows.limit(BROADCAST_NODES + 1).count() if n is None else n
-    return F.broadcast(rows) if n <= BROADCAST_NODES else rows
-
-
 def dealt(rows: DataFrame, most: int) -> DataFrame:
     """``rows`` (key, __node and others) with buckets of more than ``most`` dealt into parts, every two of which meet under a key of their own."""
     parts = reliable(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).alias("__parts")).where("__parts > 1"))
-    n = parts.limit(BROADCAST_NODES + 1).count()
+    n = parts.limit(BROADCAST_ROWS + 1).count()
     if not n:
         return rows
     cut = rows.join(few(parts, n), "key", "left").withColumn("__part", F.pmod(F.xxhash64("__node", "key"), F.col("__parts")))
@@ -150,7 +144,7 @@ def buckets(nodes: DataFrame, radius: int = RADIUS, most: int = BUCKET, levels:
         cut = _keys(level, tables(radius, depth), depth)
         sums = [F.count(F.lit(1)).alias("n"), *([(F.min("group") != F.max("group")).alias("mixed")] if grouped else [])]
         large = reliable(cut.groupBy("key").agg(*sums).where(F.col("n") > most))
-        n = large.limit(BROADCAST_NODES + 1).count()
+        n = large.limit(BROADCAST_ROWS + 1).count()
         small = (cut.join(few(large.select("key"), n), "key", "left_anti") if n else cut).select(*cols)
         done = small if done is None else done.unionByName(small)
         if not n:
@@ -236,19 +230,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large and small stars in turn (each node's neighbours are tied to the
     smallest among them) until nothing changes: a number of rounds that grows
-    with the logarithm of the longest chain. Up to BROADCAST_NODES edges the
+    with the logarithm of the longest chain. Up to BROADCAST_ROWS edges the
     smallest neighbours are sent to the edges; beyond, both meet by node.
     """
     edges = reliable(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct())
     seen, n = None, edges.count()
     while n:
+        parts = n // 20_000 + 1  # a few edges need no more files
+        edges = edges.coalesce(parts)
         both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("m")).withColumn("m", F.least("m", "src"))
         large = both.join(few(least, 2 * n), "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
         low = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(few(low, n), "src")
         small = small.select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").unionByName(low.select("src", F.col("m").alias("dst"))).distinct()
-        edges = reliable(small)
+        edges = reliable(small.coalesce(parts))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         n = now[0]
         if now == seen:
@@ -573,7 +569,7 @@ def near_copies(docs: DataFrame, most: int = BUCKET) -> tuple[DataFrame, DataFra
     texts = body.withColumnRenamed("doc_id", "__node")
     first = _keys(nodes, tables(STAGE_RADIUS)[::CENTRE_TABLES], 0)
     sizes = reliable(first.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")).where("parts > 1"))
-    if n := sizes.limit(BROADCAST_NODES + 1).count():  # whatever lies apart here meets below
+    if n := sizes.limit(BROADCAST_ROWS + 1).count():  # whatever lies apart here meets below
         first = first.join(few(sizes, n), "key", "left").withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("__node", "key"), F.coalesce("parts", F.lit(1)))))
     centres = sorted_buckets(first.select("key", *nodes.columns)).mapInArrow(_centres, "src bigint, dst bigint, degree bigint")
     stars = alike(centres.groupBy("src").agg(F.max_by("dst", F.struct("degree", F.negative("dst"))).alias("dst")), texts)

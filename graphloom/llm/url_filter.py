@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, beta_strength, reliable, table
+from .common import ascii_lower, beta_strength, few, reliable, table
 
 #: Fixed values: (verdict, host and path).
 RULES = (
@@ -108,8 +108,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str
     """
     seen = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     rule, said = matched_rule(F.col("host"), F.col("path"), rules)
-    known = host_reputation(seen.select("host").distinct(), outcomes).select(F.col("host").alias("__host"), "posterior", "bound")
-    out = seen.join(known, seen["host"] == known["__host"], "left")
+    known = reliable(host_reputation(seen.select("host").distinct(), outcomes).select(F.col("host").alias("__host"), "posterior", "bound"))
+    out = seen.join(few(known), F.col("host") == F.col("__host"), "left")
     verdict = F.coalesce(said, F.when(F.col("bound") > limit, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "posterior", "bound")
 
