@@ -34,6 +34,8 @@ STAGE_WORDS, LIKE, STAGE_RADIUS, FAR = 5, 0.8, 9, 14
 BUCKET, LEVELS = 4096, 4
 #: Cells of a tally of shingles; one table of how many serves to find centres; members of a block's part.
 CELLS, CENTRE_TABLES, BLOCK = 128, 6, 1024
+#: Pairs for each node of a bucket, above which tallies are looked at first.
+DENSE = 2
 #: Frequent shingles that are known to every executor.
 COMMON_KEYS = 100_000
 #: Rows of numbers, and bytes of shingles, in an Arrow batch.
@@ -392,6 +394,33 @@ def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[own], node[other], degree[other])], ["src", "dst", "degree"])
 
 
+def _sparse_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket's nodes within FAR bits, of like numbers of shingles and not of one group.
+
+    Where these are more than DENSE for each node, the nodes that have any are
+    returned instead, each as a pair with itself.
+    """
+    for key, fp, node, group, n in _by_bucket(batches, ("__fp", "__node", "group", "__n")):
+        bucket = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+        size = np.bincount(bucket)
+        count, any_ = np.zeros(len(size), np.int64), np.zeros(len(key), bool)
+        for told in (False, True):
+            dense = count > DENSE * size
+            for a, b in _near(key, fp.view(np.uint64), FAR):
+                may = (group[a] != group[b]) & (np.minimum(n[a], n[b]) >= LIKE * np.maximum(n[a], n[b]) - 1e-6)
+                a, b = a[may], b[may]
+                if not told:
+                    count += np.bincount(bucket[a], minlength=len(size))
+                    continue
+                much = dense[bucket[a]]
+                any_[a[much]] = any_[b[much]] = True
+                a, b = node[a[~much]], node[b[~much]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["src", "dst"])
+        own = pa.array(np.unique(node[any_]))
+        yield pa.RecordBatch.from_arrays([own, own], ["src", "dst"])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a bucket's nodes within FAR bits, not of one group, that may be alike."""
     for key, fp, node, group, n, *tally in _by_bucket(batches, ("__fp", "__node", "group", "__n", *_TALLY)):
@@ -556,7 +585,8 @@ def near_copies(docs: DataFrame, most: int = BUCKET) -> tuple[DataFrame, DataFra
     the Jaccard similarity of their shingles of five words is LIKE or more.
     First each text is held against a centre near it, found in a few of the
     tables, which joins the groups of many copies; then against all others
-    in its buckets that are not of its group. Texts of buckets with more
+    in its buckets that are not of its group; where most of a bucket are near each
+    other, tallies are looked at before pairs are made. Texts of buckets with more
     than ``most`` of them, of several groups, meet by shingles that they must
     have in common (:func:`shingle_buckets`).
     """
@@ -575,10 +605,15 @@ def near_copies(docs: DataFrame, most: int = BUCKET) -> tuple[DataFrame, DataFra
     stars = alike(centres.groupBy("src").agg(F.max_by("dst", F.struct("degree", F.negative("dst"))).alias("dst")), texts)
     ends = components(stars).select(F.col("src").alias("__node"), F.col("dst").alias("group"))
     held = nodes.join(few(ends), "__node", "left").select("__fp", "__node", F.coalesce("group", "__node").alias("group"), "__n", *_TALLY)
-    met, rest = buckets(held, STAGE_RADIUS, most, 1)
+    pair = "src bigint, dst bigint"
+    met, rest = buckets(held.select("__fp", "__node", "group", "__n"), STAGE_RADIUS, most, 1)
+    found = reliable(sorted_buckets(met).mapInArrow(_sparse_candidates, pair).distinct())
+    pairs, crowded = found.where("src <> dst"), found.where("src = dst").select(F.col("src").alias("__node"))
+    if crowded.limit(1).count():
+        again = buckets(held.join(few(crowded), "__node").select(held.columns), STAGE_RADIUS, most, 1)[0]  # its larger buckets are among those of rest
+        pairs = pairs.unionByName(sorted_buckets(again).mapInArrow(_candidates, pair))
     if rest is not None:
-        met = met.unionByName(shingle_buckets(held, rest.select("__node").distinct(), texts, most))
-    pairs = sorted_buckets(met).mapInArrow(_candidates, "src bigint, dst bigint")
+        pairs = pairs.unionByName(sorted_buckets(shingle_buckets(held, rest.select("__node").distinct(), texts, most)).mapInArrow(_candidates, pair))
     more = alike(pairs.distinct(), texts)
     return nodes.select("__node"), components(stars.unionByName(more))
 
