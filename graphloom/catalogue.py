@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import patterns as P
+from .operators import catalog as C
+from .operators import frameworks as FW
 from .operators import graph as G
 from .operators import maintenance as M
 from .operators import relational as R
+from .operators import search as S
 from .plans.projections import duckdb_sql, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,7 +76,7 @@ def q_f10_edge_filter(t):
     return t("hops").where(R.usable(floor=2)).select("id", "confidence", "via")
 
 
-@_query("""SELECT id, regexp_matches(arg_preview, '^\\(?\\s*(?:(?:"[^"]*"|[0-9]+)(?:\\s*,\\s*(?:"[^"]*"|[0-9]+))*)?\\s*\\)?$') AS constant,
+@_query(r"""SELECT id, regexp_matches(trim(coalesce(arg_preview, '')), '^(?:[\s,=()\[\]{{}}:]|''[^'']*''|"[^"]*"|[0-9][0-9_.eExXaAbBcCdDfF]*|True|False|None|null|true|false|nil|[A-Za-z_][A-Za-z0-9_]*\s*=)*$') AS constant,
 CASE WHEN regexp_matches(arg_preview, '"[^"]*"') THEN regexp_extract(arg_preview, '"([^"]*)"', 1) END AS source_key FROM {edges}""")
 def q_f12_constant_args(t):
     return t("edges").select("id", P.constant_args(F.col("arg_preview")).alias("constant"), P.first_string_arg(F.col("arg_preview")).alias("source_key"))
@@ -447,6 +450,106 @@ def q_p18_graph_view(t):
     return G.around(_ids(t, 1009), t("symbols"), G.adjacency(t("edges"), ("calls",)), 20)
 
 
+# Catalogs, frameworks and searches
+
+
+def _text(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+def _values(rows, names: str) -> str:
+    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(str(x) if isinstance(x, int | float) else _text(x) for x in r) + ")" for r in rows) + f") v({names}))"
+
+
+_ENTRIES = _values([(k, i, e.id, e.category, e.severity, e.pattern, e.hint, e.channel) for k, of in (("sink", C.BUILTIN.sinks), ("source", C.BUILTIN.sources)) for i, e in enumerate(of)], "kind, ord, id, category, severity, pattern, hint, channel")
+
+
+def _asked(f, sql: str, name: str):
+    """Register a query whose SQL is not a template, as patterns hold braces."""
+    _QUERIES[name] = lambda spark, d: f(lambda n: view(spark, d, n))
+    _ORACLES[name] = sql
+
+
+_asked(lambda t: C.as_rows(t("region").sparkSession), f"SELECT * FROM {_ENTRIES}", "a12_catalog")
+_asked(lambda t: C.as_rows(t("region").sparkSession).groupBy("kind", "category").agg(F.count(F.lit(1)).alias("entries")), f"SELECT kind, category, count(*) AS entries FROM {_ENTRIES} GROUP BY 1, 2", "g6_categories")
+
+
+def _first_fit(entries, alias: str) -> str:
+    """SQL: the id of the first entry that fits, tried one by one."""
+    tests = [f"WHEN regexp_matches(dst_qname, {_text(P.catalog_regex(e.pattern))})" + (f" AND coalesce(arg_preview, '') <> '' AND regexp_matches(arg_preview, {_text(e.hint)})" if e.hint else "") + f" THEN {_text(e.id)}" for e in entries]
+    return f"CASE WHEN kind <> 'calls' THEN NULL {' '.join(tests)} END AS {alias}"
+
+
+_asked(
+    lambda t: C.stamped(t("calls")).select("id", "sink_id", "source_id", "source_key"),
+    f"""SELECT id, sink_id, source_id, CASE WHEN source_id IS NOT NULL AND regexp_matches(arg_preview, '["''][^"'']*["'']') THEN substr(regexp_extract(arg_preview, '["'']([^"'']*)["'']', 1), 1, 128) END AS source_key
+FROM (SELECT id, arg_preview, {_first_fit(C.BUILTIN.sinks, "sink_id")}, {_first_fit(C.BUILTIN.sources, "source_id")} FROM ({duckdb_sql("SELECT * FROM {calls}")}))""",
+    "h22_stamped_calls",
+)
+
+_SIGNALS = _values([(n, la, i, k, P.catalog_regex(p.lower() if k == "dependency" else p), w) for n, la, i, k, p, w in FW.signal_rows()], "framework, language, ord, kind, rx, weight")
+
+
+def _detected(t):
+    out = FW.detected(t("region").sparkSession, t("facts"), t("present"))
+    return out.select("repo_id", "framework", "language", "confidence", F.array_join("evidence", "|").alias("evidence"))
+
+
+_asked(
+    _detected,
+    f"""SELECT repo_id, framework, language, round(1 - product(1 - weight), 3) AS confidence, string_agg(evidence, '|' ORDER BY ord) AS evidence FROM (
+SELECT f.repo_id, s.framework, s.language, s.ord, CAST(s.weight AS DOUBLE) AS weight, min(CASE WHEN f.kind = 'dependency' THEN lower(value) ELSE value END) AS evidence
+FROM ({duckdb_sql("SELECT * FROM {facts}")}) f JOIN {_SIGNALS} s ON s.kind = f.kind AND regexp_matches(CASE WHEN f.kind = 'dependency' THEN lower(value) ELSE value END, s.rx)
+AND (f.kind IN ('file', 'symbol') OR f.language = s.language OR (f.kind = 'import' AND s.language = 'javascript' AND f.language IN ('typescript', 'tsx')))
+WHERE EXISTS (SELECT 1 FROM ({duckdb_sql("SELECT * FROM {present}")}) p WHERE p.repo_id = f.repo_id AND p.language = s.language) GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3 HAVING 1 - product(1 - weight) >= 0.5""",
+    "d1_frameworks",
+)
+
+_ENV = ", ".join(_text(i) for i in C.BUILTIN.ids("sources", "env_input"))
+_SQL_SINKS = ", ".join(_text(i) for i in C.BUILTIN.ids("sinks", "sql"))
+_EVERY = ", ".join(_text(i) for i in C.BUILTIN.ids("sinks", "all"))
+
+
+def _search_sql(starts: str, goals: str, tagged: str, edge: str, open_: str, k: int, depth: int) -> str:
+    severity = "CASE sink_id " + " ".join(f"WHEN {_text(e.id)} THEN {G.SEVERITY.index(e.severity)}" for e in C.BUILTIN.sinks) + f" ELSE {len(G.SEVERITY)} END"
+    return duckdb_sql(f"""WITH RECURSIVE e AS (SELECT * FROM {{edges}} WHERE dst IS NOT NULL AND {edge}), s AS ({starts}), g AS ({goals}),
+w(nodes, edge_ids, node, sink_id, low, arg) AS (SELECT [e.src, e.dst], [e.id], e.dst, e.sink_id, e.confidence, e.arg_preview FROM e JOIN s ON s.id = e.src WHERE e.src <> e.dst
+UNION ALL SELECT list_append(w.nodes, e.dst), list_append(w.edge_ids, e.id), e.dst, e.sink_id, least(w.low, e.confidence), e.arg_preview
+FROM w JOIN e ON e.src = w.node WHERE NOT list_contains(w.nodes, e.dst) AND len(w.edge_ids) < {depth} AND w.node NOT IN (SELECT id FROM g)),
+p AS (SELECT * FROM w WHERE node IN (SELECT id FROM g) AND {tagged} ORDER BY len(nodes), nodes, edge_ids LIMIT {max(4 * k, 64)}),
+o AS (SELECT DISTINCT src FROM {{edges}} WHERE dst IS NOT NULL AND {open_})
+SELECT array_to_string(nodes, '>') AS nodes, array_to_string(edge_ids, '>') AS edge_ids, low AS min_confidence, sink_id, arg = '("select 1")' AS constant_args,
+EXISTS (SELECT 1 FROM o WHERE list_contains(p.nodes, o.src)) AS may_continue FROM p ORDER BY {severity}, low DESC, len(nodes), nodes, edge_ids LIMIT {k}""")
+
+
+def _shown(found: S.Paths):
+    join = lambda c: F.array_join(F.col(c).cast("array<string>"), ">").alias(c)
+    return found.rows.select(join("nodes"), join("edge_ids"), "min_confidence", "sink_id", "constant_args", "may_continue")
+
+
+_USABLE = "kind = 'calls' AND confidence >= 1 AND via IS DISTINCT FROM 'cha'"
+_asked(
+    lambda t: _shown(S.search(t("edges"), t("symbols"), t("entrypoints"), source_category="env_input", sink_category="sql", max_depth=4, max_paths=20)),
+    _search_sql(f"SELECT DISTINCT src AS id FROM {{edges}} WHERE source_id IN ({_ENV})", f"SELECT DISTINCT dst AS id FROM {{edges}} WHERE sink_id IN ({_SQL_SINKS}) AND dst IS NOT NULL", f"sink_id IN ({_SQL_SINKS})", _USABLE, "kind = 'calls' AND (confidence < 1 OR via IN ('cha', 'dynamic'))", 20, 4),
+    "p10_search",
+)
+_asked(
+    lambda t: _shown(S.search(t("edges"), t("symbols"), t("entrypoints"), source=["NATION_4.HOUSEHOLD.*", "NATION_2.BUILDING.Customer#00000000*"], sink="AFRICA.NATION_0", include_fuzzy=True, include_unresolved=True, include_callbacks=True, max_depth=4, max_paths=5)),
+    _search_sql("SELECT id FROM {symbols} WHERE qname ILIKE 'NATION@_4.HOUSEHOLD.%' ESCAPE '@' OR qname ILIKE 'NATION@_2.BUILDING.Customer#00000000%' ESCAPE '@'", "SELECT id FROM {symbols} WHERE qname = 'AFRICA.NATION_0'", "TRUE", "kind IN ('calls', 'callback')", "kind IN ('calls', 'callback') AND via = 'dynamic'", 5, 4),
+    "p11_explicit_search",
+)
+_asked(
+    lambda t: _shown(S.search(t("edges"), t("symbols"), t("entrypoints"), source_category="cli_arg", sink_category="all", max_depth=3, max_paths=10, strict=True)),
+    _search_sql("SELECT DISTINCT symbol_id AS id FROM {entrypoints} WHERE kind IN ('cli_command', 'main')", f"SELECT DISTINCT dst AS id FROM {{edges}} WHERE sink_id IN ({_EVERY}) AND dst IS NOT NULL", f"sink_id IN ({_EVERY})", _USABLE, "kind = 'calls' AND (confidence < 1 OR via IN ('cha', 'dynamic'))", 10, 3),
+    "p11_handlers_search",
+)
+_asked(
+    lambda t: S.symbol_ids(t("symbols"), ["Brand#11.*", "ASIA"], bare=True),
+    duckdb_sql("SELECT id FROM {symbols} WHERE qname ILIKE 'Brand#11.%' OR qname = 'ASIA'"),
+    "f9_spec_ids",
+)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best source-to-sink paths."""
     return _QUERIES["r1_ranked_paths"](spark, sf_dir)

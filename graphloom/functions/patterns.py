@@ -22,11 +22,35 @@ def matches_glob(c: Column, pattern: str) -> Column:
 
 
 def expand_braces(pattern: str) -> list[str]:
-    """``a.{b,c}`` as its alternatives, innermost braces first, options stripped."""
-    m = re.search(r"\{([^{}]*)\}", pattern)
-    if not m:
-        return [pattern]
-    return list(dict.fromkeys(x for option in m[1].split(",") for x in expand_braces(pattern[: m.start()] + option.strip() + pattern[m.end() :])))
+    """A pattern's alternatives: ``a.{b,c}`` is ``a.b`` and ``a.c``. Options lose outer blanks and may hold braces; an open brace is a letter."""
+    made, option, held, depth = [""], "", [], 0
+    for i, c in enumerate(pattern):
+        if c == "{" and (depth or _closes(pattern, i)):
+            depth += 1
+            if depth == 1:
+                continue
+        elif c == "}" and depth:
+            depth -= 1
+        if depth == 1 and c == ",":
+            held, option = [*held, option], ""
+        elif depth:
+            option += c
+        elif c == "}" and (held or option or pattern[i - 1] in "{,"):
+            inner = [x for o in (*held, option) for x in expand_braces(o.strip())]
+            made, option, held = [m + x for m in made for x in inner], "", []
+        else:
+            made = [m + c for m in made]
+    return list(dict.fromkeys(made))
+
+
+def _closes(pattern: str, at: int) -> bool:
+    """Whether the brace at a place has its other one."""
+    depth = 0
+    for c in pattern[at:]:
+        depth += (c == "{") - (c == "}")
+        if not depth:
+            return True
+    return False
 
 
 def catalog_regex(pattern: str) -> str:
@@ -66,11 +90,14 @@ def first_string_arg(preview: Column) -> Column:
     return F.when(preview.rlike("[\"'][^\"']*[\"']"), F.substring(found, 1, 128))
 
 
+#: What an argument list may hold and still be constant: literals, brackets, commas, and names of arguments before "=".
+_CONSTANT = r"""^(?:[\s,=()\[\]{}:]|'[^']*'|"[^"]*"|`(?:[^`$]|\$(?!\{))*`|[0-9][0-9_.eExXaAbBcCdDfF]*|True|False|None|null|true|false|nil|[A-Za-z_][A-Za-z0-9_]*\s*=)*$"""
+
+
 def constant_args(preview: Column) -> Column:
-    """Whether a call's arguments are literals alone; a preview that was cut never is."""
-    literal = "(?:[\"'][^\"']*[\"']|-?[0-9]+(?:\\.[0-9]+)?|True|False|None|true|false|null|nil)"
-    cut = preview.endswith("…") | preview.endswith("...")
-    return F.coalesce(~cut & preview.rlike(f"^\\(?\\s*(?:{literal}(?:\\s*,\\s*{literal})*)?\\s*\\)?$"), F.lit(False))
+    """Whether a call's arguments are literals alone; none are, and a preview that was cut never is."""
+    text = F.trim(F.coalesce(preview, F.lit("")))
+    return ~(text.endswith("…") | text.endswith("...")) & text.rlike(_CONSTANT)
 
 
 def truncate(c: Column, n: int = 80) -> Column:

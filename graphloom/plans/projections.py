@@ -59,6 +59,36 @@ UNION ALL
 SELECT page_id * 2 + 2, page_id + 1, 'ref', 'query' FROM {pages} WHERE url LIKE '%ref=%'""",
 }
 
+
+def _case(by: str, values: list[str | None]) -> str:
+    """SQL for the value whose place is the remainder of ``by``."""
+    quoted = ["NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values]
+    return f"CASE {by} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(quoted)) + " END"
+
+
+#: Callees and arguments that a catalog's patterns and hints tell apart.
+CALLEES = ["py:os.system", "py:subprocess.run", "py:*.execute", "py:eval", "py:flask.request.args.get", "py:os.getenv", "js:child_process.exec", "js:*.exec", "java:*.lookup", "rb:*.read", "rb:*.fetch", "go:os/exec.Command", "php:eval", "cs:Process.Start", "rust:std.env.args", "py:app.views.show", "js:fs.readFileSync", "py:hashlib.md5", None]
+ARGUMENTS = ["(cmd, shell=True)", "()", '("fixed", 1)', "(name)", "(input)", "(params[:x])", "('q' + x)", None]
+#: Facts about repositories: kind, language, value.
+FACTS = [
+    ("dependency", "python", "Flask"), ("import", "python", "flask"), ("import", "python", "argparse"), ("file", None, "app/manage.py"), ("file", None, "serverless.yml"), ("symbol", None, "lambda_handler"),
+    ("dependency", "javascript", "express"), ("import", "typescript", "express"), ("dependency", "javascript", "apollo-server-koa"), ("import", "tsx", "react"), ("dependency", "ruby", "railties"),
+    ("import", "ruby", "active_record/base"), ("symbol", None, "ApplicationController"), ("file", None, "config/routes.rb"), ("dependency", "go", "github.com/gin-gonic/gin"), ("import", "go", "github.com/gin-gonic/gin"),
+    ("dependency", "rust", "tokio"), ("file", None, "gqlgen.yml"), ("dependency", "python", "unknown"), ("import", "python", "django"), ("file", None, "shop/urls.py"), ("dependency", "php", "laravel/framework"), ("dependency", "java", "nothing"),
+]
+
+VIEWS |= {
+    "calls": f"""
+SELECT id, src, dst, CASE WHEN id % 9 = 0 THEN 'callback' ELSE 'calls' END AS kind, line, confidence, via,
+       {_case("id", CALLEES)} AS dst_qname, {_case(f"CAST(floor(id / {len(CALLEES)}) AS BIGINT)", ARGUMENTS)} AS arg_preview
+FROM {{hops}}""",
+    "facts": f"""
+SELECT DISTINCT user_id % 40 AS repo_id, {_case("event_id", [k for k, _, _ in FACTS])} AS kind, {_case("event_id", [x for _, x, _ in FACTS])} AS language, {_case("event_id", [v for _, _, v in FACTS])} AS value
+FROM {{events}} WHERE event_id % 1000 < 150""",
+    "present": f"""
+SELECT DISTINCT user_id % 40 AS repo_id, {_case("user_id", ["python", "javascript", "ruby", "go", "rust", "php"])} AS language FROM {{events}}""",
+}
+
 _NAME = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 
 
