@@ -13,6 +13,7 @@ from .operators import frameworks as FW
 from .operators import graph as G
 from .operators import maintenance as M
 from .operators import relational as R
+from .operators import resolve as RS
 from .operators import search as S
 from .plans.projections import duckdb_sql, view
 
@@ -550,6 +551,76 @@ _asked(
 )
 
 
+# References to edges
+
+_STAR_SINK = "CASE " + " ".join(f"WHEN regexp_matches(star, {_text(P.catalog_regex(e.pattern))})" + (f" AND coalesce(arg_preview, '') <> '' AND regexp_matches(arg_preview, {_text(e.hint)})" if e.hint else "") + " THEN TRUE" for e in C.BUILTIN.sinks if e.pattern.startswith("py:") or ":" not in e.pattern) + " ELSE FALSE END"
+_RESOLVE_VIEWS = "WITH " + ", ".join(f"{n} AS ({duckdb_sql('SELECT * FROM {' + n + '}')})" for n in ("defs", "refs", "brings", "lines", "typed"))
+_RESOLVED = f"""{_RESOLVE_VIEWS},
+q AS (SELECT qname, max(id) AS id FROM defs GROUP BY 1), x AS (SELECT DISTINCT qname FROM defs WHERE kind = 'module'),
+r AS (SELECT *, {_STAR_SINK} AS sinkish FROM (SELECT *, split_part(split_part(callee_text, '.', 1), '(', 1) AS first, contains(callee_text, '(') AS chained, prefix || ':*.' || callee_name AS star FROM refs)),
+im AS (SELECT file_id, alias, arg_max(target, ordinal) AS target FROM brings WHERE NOT wildcard GROUP BY 1, 2),
+fn AS (SELECT name, language, CASE WHEN kind = 'method' THEN 'm' ELSE 'f' END AS g, count(*) AS n, min(id) AS id, arg_min(qname, id) AS qname FROM defs WHERE kind IN ('method', 'function', 'class') GROUP BY 1, 2, 3),
+cb AS (SELECT name, language, count(*) AS n, min(id) AS id, arg_min(qname, id) AS qname FROM defs WHERE kind IN ('method', 'function') GROUP BY 1, 2),
+ex AS (SELECT ref_id, target || substr(callee_text, length(first) + 1) AS e FROM r JOIN im ON im.file_id = r.file_id AND im.alias = r.first WHERE NOT chained AND kind NOT IN ('callback', 'dynamic_call')),
+ix AS (SELECT ref_id, e, EXISTS (SELECT 1 FROM x WHERE e = x.qname OR starts_with(e, x.qname || '.')) AS own FROM ex),
+c AS (
+SELECT ref_id, 0 AS rank, 0 AS o, q.id AS dst, type || '.' || callee_name AS dst_qname, 2 AS confidence, 'binding' AS via FROM r JOIN typed ON typed.caller = r.caller AND typed.name = r.receiver JOIN q ON q.qname = type || '.' || callee_name WHERE NOT sinkish AND kind NOT IN ('callback', 'dynamic_call')
+UNION ALL SELECT ref_id, 0, 1, NULL, type || '.' || callee_name, 2, 'binding' FROM r JOIN typed ON typed.caller = r.caller AND typed.name = r.receiver WHERE contains(type, ':') AND kind NOT IN ('callback', 'dynamic_call')
+UNION ALL SELECT ref_id, 1, 0, q.id, e, 2, NULL FROM ix JOIN q ON q.qname = e WHERE own
+UNION ALL SELECT ref_id, 1, 2, NULL, e, 0, NULL FROM ix WHERE own
+UNION ALL SELECT ref_id, 1, 0, NULL, 'py:' || e, 2, NULL FROM ix WHERE NOT own
+UNION ALL SELECT ref_id, 2, 0, q.id, q.qname, 3, NULL FROM r JOIN q ON q.qname = module || '.' || callee_name WHERE receiver IS NULL AND kind NOT IN ('callback', 'dynamic_call')
+UNION ALL SELECT ref_id, 3, 0, q.id, q.qname, 3, NULL FROM r JOIN q ON q.qname = owner || '.' || callee_name WHERE receiver = 'self' AND owner IN (SELECT qname FROM defs WHERE kind = 'class') AND kind NOT IN ('callback', 'dynamic_call')
+UNION ALL SELECT ref_id, 3, depth, q.id, q.qname, 3, NULL FROM r JOIN lines ON lines.id = owner JOIN q ON q.qname = ancestor || '.' || callee_name WHERE receiver = 'self' AND owner IN (SELECT qname FROM defs WHERE kind = 'class') AND kind NOT IN ('callback', 'dynamic_call')
+UNION ALL SELECT ref_id, 4, ordinal, q.id, q.qname, 2, NULL FROM r JOIN brings ON wildcard AND brings.file_id = r.file_id JOIN q ON q.qname = target || '.' || callee_name WHERE receiver IS NULL AND kind NOT IN ('callback', 'dynamic_call')
+UNION ALL SELECT ref_id, 5, 0, fn.id, fn.qname, 1, NULL FROM r JOIN fn ON fn.name = callee_name AND fn.language = r.language AND n = 1 AND g = CASE WHEN receiver IS NULL THEN 'f' ELSE 'm' END WHERE (receiver IS NULL OR NOT sinkish) AND kind NOT IN ('callback', 'dynamic_call')
+UNION ALL SELECT ref_id, 2, 0, q.id, q.qname, 2, NULL FROM r JOIN q ON q.qname = module || '.' || callee_name WHERE kind = 'callback'
+UNION ALL SELECT ref_id, 3, 0, q.id, q.qname, 2, NULL FROM r JOIN im ON im.file_id = r.file_id AND im.alias = callee_name JOIN q ON q.qname = target WHERE kind = 'callback'
+UNION ALL SELECT ref_id, 4, 0, cb.id, cb.qname, 2, NULL FROM r JOIN cb ON cb.name = callee_name AND cb.language = r.language AND n = 1 WHERE kind = 'callback'),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY rank, o, dst_qname) AS rn FROM c) WHERE rn = 1)
+SELECT r.ref_id, CASE kind WHEN 'inherit' THEN 'inherits' WHEN 'callback' THEN 'callback' ELSE 'calls' END AS kind, b.dst,
+CASE WHEN b.ref_id IS NOT NULL THEN b.dst_qname WHEN kind = 'dynamic_call' THEN CASE WHEN callee_name = '<dynamic>' THEN 'py:<dynamic>' ELSE 'py:' || callee_name || '.*' END WHEN receiver IS NOT NULL OR chained THEN star ELSE 'py:' || callee_text END AS dst_qname,
+coalesce(b.confidence, 0) AS confidence, CASE WHEN b.ref_id IS NOT NULL THEN b.via WHEN kind = 'dynamic_call' THEN 'dynamic' END AS via
+FROM r LEFT JOIN b ON b.ref_id = r.ref_id WHERE kind <> 'callback' OR b.ref_id IS NOT NULL"""
+
+
+def _resolved(t):
+    return RS.resolve(t("refs"), t("brings"), t("defs"), t("lines"), bindings=t("typed"))
+
+
+_asked(lambda t: _resolved(t).select("ref_id", "kind", "dst", "dst_qname", "confidence", "via"), _RESOLVED, "h10_resolved_references")
+_asked(lambda t: RS.mint_externals(_resolved(t), t("defs")), f"SELECT DISTINCT dst_qname AS qname, regexp_extract(dst_qname, '([^.:]*)$', 1) AS name FROM ({_RESOLVED}) WHERE dst IS NULL AND dst_qname NOT IN (SELECT qname FROM ({duckdb_sql('SELECT * FROM {defs}')}))", "h20_externals")
+_asked(
+    lambda t: RS.import_edges(t("brings").withColumnRenamed("target", "module").withColumn("prefix", F.lit("py")).withColumn("line", F.col("ordinal") + 1), t("defs")),
+    f"""{_RESOLVE_VIEWS}, f AS (SELECT file_id, target AS module, min(ordinal) + 1 AS line FROM brings GROUP BY 1, 2), o AS (SELECT *, EXISTS (SELECT 1 FROM defs x WHERE kind = 'module' AND (module = x.qname OR starts_with(module, x.qname || '.'))) AS own FROM f),
+q AS (SELECT qname, max(id) AS id FROM defs GROUP BY 1)
+SELECT file_id, CASE WHEN own THEN id END AS dst, CASE WHEN own THEN module ELSE 'py:' || module END AS dst_qname, line, CASE WHEN own AND id IS NULL THEN 0 ELSE 2 END AS confidence FROM o LEFT JOIN q ON q.qname = module""",
+    "h8_import_edges",
+)
+_asked(
+    lambda t: RS.parents(t("defs")),
+    f"""{_RESOLVE_VIEWS}, s AS (SELECT id, file_id, regexp_extract(qname, '^(.*)\\.[^.]*$', 1) AS up FROM defs WHERE kind <> 'module')
+SELECT s.id, coalesce((SELECT max(id) FROM defs d WHERE d.qname = up AND d.file_id = s.file_id), (SELECT max(id) FROM defs d WHERE d.qname = up), (SELECT max(id) FROM defs d WHERE d.kind = 'module' AND d.file_id = s.file_id)) AS parent FROM s""",
+    "h0_parents",
+)
+
+
+def _handlers(t):
+    hints = t("hops").select(F.col("id").alias("hint_id"), (F.col("src") % 8 + 1).alias("file_id"), F.expr("CASE WHEN id % 3 = 0 THEN 'ASIA.NATION_' || CAST(dst % 30 AS STRING) WHEN id % 3 = 1 THEN 'AFRICA.only' || CAST(dst % 3 AS STRING) END").alias("handler"), "line")
+    edges = t("hops").select((F.col("src") % 8 + 1).alias("file_id"), "kind", F.lit(7).alias("line"), "dst")
+    return RS.bound_handlers(hints, t("defs"), edges)
+
+
+_asked(
+    _handlers,
+    f"""{_RESOLVE_VIEWS}, h AS (SELECT id AS hint_id, src % 8 + 1 AS file_id, CASE WHEN id % 3 = 0 THEN 'ASIA.NATION_' || CAST(dst % 30 AS STRING) WHEN id % 3 = 1 THEN 'AFRICA.only' || CAST(dst % 3 AS STRING) END AS handler, line FROM ({duckdb_sql('SELECT * FROM {hops}')})),
+n AS (SELECT file_id, qname, max(id) AS id FROM defs GROUP BY 1, 2), f AS (SELECT qname, max(id) AS id FROM defs GROUP BY 1), m AS (SELECT file_id, max(id) AS id FROM defs WHERE kind = 'module' GROUP BY 1),
+b AS (SELECT src % 8 + 1 AS file_id, 7 AS line, min(dst) AS dst FROM ({duckdb_sql('SELECT * FROM {hops}')}) WHERE kind = 'callback' GROUP BY 1)
+SELECT hint_id, coalesce(n.id, f.id, b.dst, m.id) AS symbol_id FROM h LEFT JOIN n ON n.file_id = h.file_id AND n.qname = handler LEFT JOIN f ON f.qname = handler LEFT JOIN b ON b.file_id = h.file_id AND b.line = h.line LEFT JOIN m ON m.file_id = h.file_id""",
+    "h23_bound_handlers",
+)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best source-to-sink paths."""
     return _QUERIES["r1_ranked_paths"](spark, sf_dir)

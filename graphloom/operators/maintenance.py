@@ -29,10 +29,11 @@ def wipe_files(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[
 
 def heal(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges without a target bound by qname to ``symbols`` (qname, id); confidence 0 becomes 2, others stay."""
-    names = symbols.groupBy(F.col("qname").alias("__q")).agg(F.min("id").alias("__id"))
-    joined = edges.join(names, F.when(edges["dst"].isNull(), edges["dst_qname"]) == names["__q"], "left")
-    bound = F.col("dst").isNull() & F.col("__id").isNotNull()
-    return joined.withColumn("confidence", F.when(bound & (F.col("confidence") == 0), 2).otherwise(F.col("confidence"))).withColumn("dst", F.coalesce("dst", "__id")).drop("__q", "__id")
+    names = symbols.groupBy(F.col("qname").alias("dst_qname")).agg(F.min("id").alias("__id"))
+    open_ = edges.where(F.col("dst").isNull() & F.col("dst_qname").isNotNull())  # the others need no partner, and would all meet at null
+    bound = F.col("__id").isNotNull()
+    healed = open_.join(names, "dst_qname", "left").withColumn("confidence", F.when(bound & (F.col("confidence") == 0), 2).otherwise(F.col("confidence"))).withColumn("dst", F.col("__id"))
+    return edges.where(F.col("dst").isNotNull() | F.col("dst_qname").isNull()).unionByName(healed.select(edges.columns))
 
 
 def collect_orphans(symbols: DataFrame, edges: DataFrame) -> DataFrame:

@@ -36,15 +36,20 @@ def files(table: DataFrame, language: str | None = None, path: str | None = None
     return out.orderBy("path")
 
 
+def _beside(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """A left join in which rows without a key stay out of the shuffle, where they would all meet in one task."""
+    new = [F.lit(None).cast(f.dataType).alias(f.name) for f in other.schema if f.name != key]
+    known = rows.where(F.col(key).isNotNull()).join(other, key, "left")
+    return known.unionByName(rows.where(F.col(key).isNull()).select("*", *new))
+
+
 def with_file(symbols_: DataFrame, files_: DataFrame) -> DataFrame:
     """Symbols with the path of their file; externals have none."""
-    f = files_.select(F.col("id").alias("file_id"), "path", "language")
-    return symbols_.join(f, "file_id", "left")
+    return _beside(symbols_, files_.select(F.col("id").alias("file_id"), "path", "language"), "file_id")
 
 
 def with_parent(symbols_: DataFrame) -> DataFrame:
-    p = symbols_.select(F.col("id").alias("parent_id"), F.col("qname").alias("parent_qname"), F.col("kind").alias("parent_kind"))
-    return symbols_.join(p, "parent_id", "left")
+    return _beside(symbols_, symbols_.select(F.col("id").alias("parent_id"), F.col("qname").alias("parent_qname"), F.col("kind").alias("parent_kind")), "parent_id")
 
 
 def entrypoints(table: DataFrame, symbols_: DataFrame, params: DataFrame, kind: str | None = None, framework: str | None = None, route: str | None = None, limit: int | None = None) -> DataFrame:

@@ -89,6 +89,34 @@ FROM {{events}} WHERE event_id % 1000 < 150""",
 SELECT DISTINCT user_id % 40 AS repo_id, {_case("user_id", ["python", "javascript", "ruby", "go", "rust", "php"])} AS language FROM {{events}}""",
 }
 
+VIEWS |= {
+    "defs": """
+SELECT id, qname, name, kind, CASE WHEN id % 13 = 0 THEN 'go' ELSE 'python' END AS language, file_id, start_line FROM {symbols} WHERE kind <> 'external' AND id < 10000000
+UNION ALL
+SELECT CAST(20000000 + n_nationkey * 10 + k AS BIGINT), r_name || '.' || n_name || '.m' || CAST((n_nationkey + k) % 7 AS STRING), 'm' || CAST((n_nationkey + k) % 7 AS STRING), 'method', 'python', CAST(n_regionkey + 1 AS BIGINT), 5
+FROM {nation} JOIN {region} ON n_regionkey = r_regionkey CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2)
+UNION ALL
+SELECT CAST(21000000 + r_regionkey AS BIGINT), r_name || '.only' || CAST(r_regionkey AS STRING), 'only' || CAST(r_regionkey AS STRING), CASE WHEN r_regionkey % 2 = 0 THEN 'function' ELSE 'method' END, 'python', CAST(r_regionkey + 1 AS BIGINT), 3 FROM {region}""",
+    "refs": """
+SELECT ref_id, file_id, module, kind, callee_name, receiver, line, module || '.' || nation || '.run' AS caller, module || '.' || nation AS owner, 'python' AS language, 'py' AS prefix, arg_preview,
+       CASE WHEN receiver IS NULL THEN CASE WHEN ref_id % 17 = 0 THEN 'ns.' || callee_name ELSE callee_name END WHEN ref_id % 19 = 0 THEN receiver || '(x).' || callee_name ELSE receiver || '.' || callee_name END AS callee_text
+FROM (SELECT h.id AS ref_id, h.src % 5 + 1 AS file_id, r_name AS module, 'NATION_' || CAST(h.dst % 25 AS STRING) AS nation, h.line, CASE h.id % 3 WHEN 0 THEN '(q)' WHEN 1 THEN '()' END AS arg_preview,
+      CASE WHEN h.id % 10 = 7 THEN 'callback' WHEN h.id % 10 = 8 THEN 'dynamic_call' WHEN h.id % 10 = 9 THEN 'inherit' ELSE 'call' END AS kind,
+      CASE h.id % 7 WHEN 0 THEN 'm' || CAST(h.dst % 9 AS STRING) WHEN 1 THEN 'NATION_' || CAST(h.dst % 30 AS STRING) WHEN 2 THEN 'only' || CAST(h.dst % 6 AS STRING) WHEN 3 THEN 'execute' WHEN 4 THEN '<dynamic>' WHEN 5 THEN 'm' || CAST(h.src % 7 AS STRING) ELSE 'f' || CAST(h.dst % 50 AS STRING) END AS callee_name,
+      CASE CAST(floor(h.id / 7) AS BIGINT) % 6 WHEN 2 THEN 'self' WHEN 3 THEN 'obj' WHEN 4 THEN 'svc' WHEN 5 THEN 'pool' END AS receiver
+      FROM {hops} h JOIN {region} ON r_regionkey = h.src % 5)""",
+    "brings": """
+SELECT CAST(r_regionkey + 1 AS BIGINT) AS file_id, o AS ordinal, CASE o WHEN 0 THEN 'svc' WHEN 1 THEN 'ns' WHEN 2 THEN 'only2' WHEN 3 THEN 'svc' ELSE '*' END AS alias,
+       CASE o WHEN 0 THEN 'os.path' WHEN 1 THEN 'ASIA' WHEN 2 THEN 'ASIA.only2' WHEN 3 THEN CASE WHEN r_regionkey < 3 THEN 'EUROPE.NATION_3' ELSE 'urllib.request' END WHEN 4 THEN 'AFRICA' ELSE 'AMERICA' END AS target, o > 3 AS wildcard
+FROM {region} CROSS JOIN (SELECT 0 AS o UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5)""",
+    "lines": """
+SELECT a.r_name || '.' || x.n_name AS id, b.r_name || '.' || y.n_name AS ancestor, CASE WHEN y.n_nationkey - x.n_nationkey = 5 THEN 1 ELSE 2 END AS depth
+FROM {nation} x JOIN {region} a ON x.n_regionkey = a.r_regionkey JOIN {nation} y ON y.n_nationkey - x.n_nationkey IN (5, 10) JOIN {region} b ON y.n_regionkey = b.r_regionkey""",
+    "typed": """
+SELECT r_name || '.NATION_' || CAST(k AS STRING) || '.run' AS caller, 'pool' AS name, CASE WHEN k % 3 = 0 THEN 'py:db.Pool' ELSE 'ASIA.NATION_2' END AS type
+FROM {region} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 7 UNION ALL SELECT 12)""",
+}
+
 _NAME = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 
 

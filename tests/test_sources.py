@@ -50,17 +50,45 @@ def test_extract(spark):
 
 
 def test_resolve(spark):
-    symbols = spark.createDataFrame([(10, "app.s.run", "run", "function", "python"), (11, "app.s.Base.go", "go", "method", "python"), (12, "app.r.local", "local", "function", "python"), (13, "x.lonely", "lonely", "function", "python"), (14, "w.star", "star", "function", "python")], "id bigint, qname string, name string, kind string, language string")
-    imports = spark.createDataFrame([(1, 0, "run", "app.s.run", False), (1, 1, "os", "os", False), (1, 2, "*", "w", True)], "file_id bigint, ordinal int, alias string, target string, wildcard boolean")
+    """Cases as rows: what a reference binds to, how surely, and by which way."""
+    symbols = [(1, "app.s", "module"), (2, "app.r", "module"), (3, "x", "module"), (4, "w", "module"), (5, "app.r.A", "class"), (10, "app.s.run", "function"), (11, "app.s.Base.go", "method"), (12, "app.r.local", "function"), (13, "x.lonely", "function"), (14, "w.star", "function"), (15, "app.s.impl.deep", "function"), (16, "x.T.execute", "method"), (17, "x.T.fetch", "method"), (18, "app.s.Pool", "class"), (19, "app.s.Pool.take", "method")]
+    symbols = spark.createDataFrame([(i, q, q.rpartition(".")[2], k, "python") for i, q, k in symbols], "id bigint, qname string, name string, kind string, language string")
+    imports = spark.createDataFrame([(1, 0, "run", "app.s.run", False), (1, 1, "os", "os", False), (1, 2, "*", "w", True), (1, 3, "s", "app.s", False)], "file_id bigint, ordinal int, alias string, target string, wildcard boolean")
     lines = spark.createDataFrame([("app.r.A", "app.s.Base", 1)], "id string, ancestor string, depth int")
+    exports = spark.createDataFrame([("app.s.deep", "app.s.impl.deep")], "name string, target string")
+    bindings = spark.createDataFrame([("app.r.f", "pool", "app.s.Pool"), ("app.r.f", "db", "py:db.Conn")], "caller string, name string, type string")
     make = lambda i, kind, text, owner=None: (i, 1, "app.r", kind, text, text.rpartition(".")[2], text.rpartition(".")[0] or None, i, "app.r.f", owner, "python", "py")
-    refs = spark.createDataFrame([make(1, "call", "run"), make(2, "call", "os.system"), make(3, "call", "local"), make(4, "call", "self.go", "app.r.A"), make(5, "call", "lonely"), make(6, "call", "star"), make(7, "call", "thing.nope"), make(8, "dynamic_call", "f()()"), make(9, "callback", "nowhere"), make(10, "composite", "run")], "ref_id int, file_id bigint, module string, kind string, callee_text string, callee_name string, receiver string, line int, caller string, owner string, language string, prefix string")
-    out = resolve.resolve(refs, imports, symbols, lines)
-    got = {r["ref_id"]: (r["dst"], r["dst_qname"], r["confidence"], r["via"]) for r in out.collect()}
-    assert got[1] == (10, "app.s.run", 2, None) and got[2] == (None, "py:os.system", 2, None) and got[3] == (12, "app.r.local", 3, None)
-    assert got[4] == (11, "app.s.Base.go", 3, None) and got[5] == (13, "x.lonely", 1, None) and got[6] == (14, "w.star", 2, None)
-    assert got[7] == (None, "py:*.nope", 0, None) and got[8][3] == "dynamic" and 9 not in got
-    assert {r["qname"] for r in resolve.mint_externals(out, symbols).collect()} == {"py:os.system", "py:*.nope", "py:<dynamic>"}
+    cases = {
+        1: (make(1, "call", "run"), (10, "app.s.run", 2, None)),
+        2: (make(2, "call", "os.system"), (None, "py:os.system", 2, None)),
+        3: (make(3, "call", "local"), (12, "app.r.local", 3, None)),
+        4: (make(4, "call", "self.go", "app.r.A"), (11, "app.s.Base.go", 3, None)),
+        5: (make(5, "call", "lonely"), (13, "x.lonely", 1, None)),
+        6: (make(6, "call", "star"), (14, "w.star", 2, None)),
+        7: (make(7, "call", "thing.nope"), (None, "py:*.nope", 0, None)),
+        8: (make(8, "dynamic_call", "<dynamic>"), (None, "py:<dynamic>", 0, "dynamic")),
+        9: (make(9, "callback", "nowhere"), None),
+        10: (make(10, "composite", "run"), (10, "app.s.run", 2, None)),
+        11: (make(11, "call", "s.gone"), (None, "app.s.gone", 0, None)),
+        12: (make(12, "call", "s.deep"), (15, "app.s.impl.deep", 2, "reexport")),
+        13: (make(13, "call", "thing.execute"), (None, "py:*.execute", 0, None)),  # the name is a sink's
+        14: (make(14, "call", "thing.fetch"), (17, "x.T.fetch", 1, None)),
+        15: (make(15, "call", "self.fetch", "app.r.f"), (17, "x.T.fetch", 1, None)),  # the owner is no class
+        16: (make(16, "callback", "run"), (10, "app.s.run", 2, None)),
+        17: (make(17, "callback", "os"), None),
+        18: (make(18, "dynamic_call", "getattr"), (None, "py:getattr.*", 0, "dynamic")),
+        19: (make(19, "call", "pool.take"), (19, "app.s.Pool.take", 2, "binding")),
+        20: (make(20, "call", "db.query"), (None, "py:db.Conn.query", 2, "binding")),
+        21: (make(21, "call", "os.popen(c).read"), (None, "py:*.read", 0, None)),
+    }
+    refs = spark.createDataFrame([c[0] for c in cases.values()], "ref_id int, file_id bigint, module string, kind string, callee_text string, callee_name string, receiver string, line int, caller string, owner string, language string, prefix string")
+    out = resolve.resolve(refs, imports, symbols, lines, exports, bindings)
+    rows = out.collect()
+    assert {r["ref_id"]: (r["dst"], r["dst_qname"], r["confidence"], r["via"]) for r in rows} == {i: c[1] for i, c in cases.items() if c[1]}
+    assert {r["ref_id"]: r["kind"] for r in rows if r["ref_id"] in (10, 16, 1)} == {10: "references", 16: "callback", 1: "calls"}
+    assert {r["qname"] for r in resolve.mint_externals(out, symbols).collect()} >= {"py:os.system", "py:*.nope", "py:<dynamic>"}
+    candidates = spark.createDataFrame([("fetch", "python", 17), ("fetch", "python", 30)], "name string, language string, id bigint")
+    assert {tuple(r) for r in resolve.hierarchy_edges(refs, out, candidates).collect()} == {(14, 30, 1, "cha")}
 
 
 @pytest.mark.parametrize(("body", "want"), [("x = a\n    sink(x)", True), ("sink(f'{a}')", True), ("x = 1\n    x += a\n    sink(x)", True), ("b = 2\n    sink(b)", False), ("sink('k')", False), ("other(a)", None), ("for y in a:\n        z = y\n    sink(z)", True)])
