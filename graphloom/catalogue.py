@@ -377,10 +377,10 @@ def _flow(t):
     return G.adjacency(t("edges"), ("calls", "inherits"))
 
 
-def _flow_paths(t):
+def _flow_paths(t, open_nodes=None):
     sources = t("customer").where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") + 1000000).alias("id"))
     sinks = t("symbols").where("kind = 'class'").select("id")
-    return G.simple_paths(sources, sinks, _flow(t), 4, F.col("sink_id").isNotNull())
+    return G.simple_paths(sources, sinks, _flow(t), 4, F.col("sink_id").isNotNull(), open_nodes)
 
 
 @_query(_PATHS + " SELECT array_to_string(nodes, '>') AS nodes, array_to_string(edge_ids, '>') AS edge_ids FROM p")
@@ -397,7 +397,7 @@ ORDER BY CASE severity WHEN 'high' THEN 1 ELSE 2 END, min_confidence DESC, n_nod
 
 @_query(_PATHS + _RANKED)
 def q_r1_ranked_paths(t):
-    rows = G.described(_flow_paths(t), t("edges")).withColumn("severity", F.when(F.col("sink_id") == "py.command-exec.os", "high").otherwise("medium"))
+    rows = _flow_paths(t).withColumn("n_nodes", F.size("nodes")).withColumn("severity", F.when(F.col("sink_id") == "py.command-exec.os", "high").otherwise("medium"))
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), ">").alias(c)
     return G.ranked(rows, 10).select(join("nodes"), join("edge_ids"), "n_nodes", "min_confidence", "sink_id", "severity")
 
@@ -405,7 +405,7 @@ def q_r1_ranked_paths(t):
 @_query(_PATHS + """, o AS (SELECT DISTINCT src FROM {edges} WHERE dst IS NOT NULL AND kind IN ('calls', 'inherits') AND (confidence < 1 OR via IN ('cha', 'dynamic')))
 SELECT array_to_string(edge_ids, '>') AS edge_ids, len(list_filter(nodes, lambda n: n IN (SELECT src FROM o))) > 0 AS may_continue FROM p""".replace("len(list_filter(nodes, lambda n: n IN (SELECT src FROM o))) > 0", "EXISTS (SELECT 1 FROM o WHERE list_contains(p.nodes, o.src))"))
 def q_p15_may_continue(t):
-    out = G.may_continue(_flow_paths(t), t("edges"), ("calls", "inherits"))
+    out = _flow_paths(t, G.open_nodes(t("edges"), ("calls", "inherits")))
     return out.select(F.array_join(F.col("edge_ids").cast("array<string>"), ">").alias("edge_ids"), "may_continue")
 
 

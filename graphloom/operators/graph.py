@@ -55,37 +55,59 @@ def can_reach(sinks: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return ends.withColumn("left", F.lit(0)).unionByName(neighborhood(ends, reversed_edges(edges), depth).withColumnRenamed("depth", "left"))
 
 
-def simple_paths(sources: DataFrame, sinks: DataFrame, edges: DataFrame, max_depth: int, terminal: Column | None = None) -> DataFrame:
-    """(nodes, edge_ids): simple paths of 1 to ``max_depth`` edges from ``sources`` to the first sink on the way.
+def simple_paths(sources: DataFrame, sinks: DataFrame, edges: DataFrame, max_depth: int, terminal: Column | None = None, open_nodes: DataFrame | None = None) -> DataFrame:
+    """Simple paths of 1 to ``max_depth`` edges from ``sources`` to the first sink on the way: nodes, edge_ids and what the way has shown.
 
     A path ends at the first sink it meets, and counts only if ``terminal``
     (over the last edge's columns) holds there. Parallel edges make paths of
     their own. Only edges towards a sink that the steps left still reach are
-    followed.
+    followed. Where the edges have them, paths carry the least confidence
+    (min_confidence) and the last edge's sink_id and arg_preview; with
+    ``open_nodes`` (id), may_continue tells whether one is on the path.
     """
     towards = reliable(can_reach(sinks, edges, max_depth))
     goal = sinks.select(F.col("id").alias("dst")).distinct().withColumn("__end", F.lit(True))
     keep = towards.select(F.col("id").alias("dst"), "left")
     hop = edges.where("src <> dst").join(keep, "dst").join(goal, "dst", "left")
-    hop = hop.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("id").alias("edge"), "left", F.coalesce("__end", F.lit(False)).alias("ends"), (terminal if terminal is not None else F.lit(True)).alias("fits"))
+    last = [c for c in ("sink_id", "arg_preview") if c in edges.columns]
+    low = ["confidence"] if "confidence" in edges.columns else []
+    hop = hop.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("id").alias("edge"), "left", *low, *last, F.coalesce("__end", F.lit(False)).alias("ends"), (terminal if terminal is not None else F.lit(True)).alias("fits"))
+    frontier = sources.select(F.col("id").alias("at")).distinct()
+    if open_nodes is not None:
+        mark = lambda c: open_nodes.select(F.col("id").alias(c)).distinct().withColumn("open", F.lit(True))
+        hop = hop.join(mark("to"), "to", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        frontier = frontier.join(mark("at"), "at", "left").withColumn("may_continue", F.coalesce("open", F.lit(False))).drop("open")
     hop = reliable(hop)
-    frontier = sources.select(F.col("id").alias("at")).distinct().select("at", F.array("at").alias("nodes"), F.array().cast("array<bigint>").alias("edge_ids"))
+    frontier = frontier.select("*", F.array("at").alias("nodes"), F.array().cast("array<bigint>").alias("edge_ids"), *([F.lit(None).cast("int").alias("min_confidence")] if low else []))
+    carried = [c for c in ("may_continue", "min_confidence") if c in frontier.columns]
+    news = {"may_continue": lambda: F.col("may_continue") | F.col("open"), "min_confidence": lambda: F.least("min_confidence", "confidence")}
     found = None
     for d in range(1, max_depth + 1):
         step = frontier.join(hop, "at").where(~F.array_contains("nodes", F.col("to")) & (F.col("left") <= max_depth - d))
-        step = step.select(F.col("to").alias("at"), F.array_append("nodes", F.col("to")).alias("nodes"), F.array_append("edge_ids", F.col("edge")).alias("edge_ids"), "ends", "fits")
+        step = step.select(F.col("to").alias("at"), F.array_append("nodes", F.col("to")).alias("nodes"), F.array_append("edge_ids", F.col("edge")).alias("edge_ids"), *[news[c]().alias(c) for c in carried], *last, "ends", "fits")
         step = reliable(step)
-        here = step.where("ends AND fits").select("nodes", "edge_ids")
+        here = step.where("ends AND fits").select("nodes", "edge_ids", *carried, *last)
         found = here if found is None else found.unionByName(here)
-        frontier = step.where("NOT ends").select("at", "nodes", "edge_ids")
+        frontier = step.where("NOT ends").select("at", "nodes", "edge_ids", *carried)
         if frontier.isEmpty():
             break
     return found
 
 
-def reachable(sources: DataFrame, sinks: DataFrame, edges: DataFrame, max_depth: int = 25) -> DataFrame:
-    """The sources (id) from which some sink is reached in at most ``max_depth`` steps, or that are one."""
-    return sources.select("id").distinct().join(can_reach(sinks, edges, max_depth), "id", "left_semi")
+def reachable(sources: DataFrame, sinks: DataFrame, edges: DataFrame, max_depth: int = 25, terminal: Column | None = None) -> DataFrame:
+    """The sources (id) from which some sink is reached in at most ``max_depth`` steps, or that are one.
+
+    With ``terminal`` (over an edge's columns) the step into the first sink on
+    the way must fulfil it, as paths must; a source that is a sink is none then.
+    """
+    starts = sources.select("id").distinct()
+    if terminal is None:
+        return starts.join(can_reach(sinks, edges, max_depth), "id", "left_semi")
+    ends = sinks.select(F.col("id").alias("dst")).distinct()
+    last = edges.where(terminal).join(ends, "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+    inner = edges.join(ends, "dst", "left_anti")  # the way itself passes no sink; a start may be one
+    near = last if max_depth < 2 else last.unionByName(neighborhood(last.join(ends, last["id"] == ends["dst"], "left_anti"), reversed_edges(inner), max_depth - 1).select("id"))
+    return starts.join(near, "id", "left_semi")
 
 
 def described(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -117,21 +139,16 @@ def pool_size(max_paths: int) -> int:
     return 1 if max_paths <= 1 else max(4 * max_paths, 64)
 
 
-def may_continue(paths: DataFrame, edges: DataFrame, kinds: Sequence[str], floor: int = 1, include_cha: bool = False) -> DataFrame:
-    """Paths with may_continue: whether a node has a resolved edge that the search left out."""
+def open_nodes(edges: DataFrame, kinds: Sequence[str], floor: int = 1, include_cha: bool = False) -> DataFrame:
+    """(id) of the nodes with a resolved edge that a search leaves out, or a dynamic one."""
     out = edges.where(F.col("dst").isNotNull() & F.col("kind").isin(*kinds) & (~usable(floor=floor, include_cha=include_cha) | F.col("via").eqNullSafe("dynamic")))
-    open_ = out.select(F.col("src").alias("node")).distinct()
-    hit = paths.select("edge_ids", F.explode("nodes").alias("node")).join(open_, "node", "left_semi").select("edge_ids").distinct().withColumn("__hit", F.lit(True))
-    return paths.join(hit, "edge_ids", "left").withColumn("may_continue", F.coalesce("__hit", F.lit(False))).drop("__hit")
+    return out.select(F.col("src").alias("id")).distinct()
 
 
-def adaptive(search, tiers: Sequence[tuple[str, dict]]) -> tuple[str, DataFrame]:
-    """(mode, paths) of the first tier of ``search(**options)`` that finds a path; else of the last."""
-    for mode, options in tiers:
-        paths = search(**options)
-        if not paths.isEmpty():
-            break
-    return mode, paths
+def may_continue(paths: DataFrame, open_: DataFrame) -> DataFrame:
+    """Paths with may_continue: whether one of ``open_`` (id) is on them."""
+    hit = paths.select("edge_ids", F.explode("nodes").alias("id")).join(open_, "id", "left_semi").select("edge_ids").distinct().withColumn("__hit", F.lit(True))
+    return paths.join(hit, "edge_ids", "left").withColumn("may_continue", F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
 def ancestors(parents: DataFrame, depth: int = 10) -> DataFrame:

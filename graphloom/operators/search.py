@@ -12,7 +12,6 @@ from ..functions.patterns import constant_args, matches_glob
 from ..session import reliable
 from . import graph as G
 from .catalog import ALL, BUILTIN, Catalog
-from .relational import usable
 
 #: Entrypoints whose handlers are sources of a category by themselves (fixed values).
 HANDLERS = {"http_input": ("http_route", "graphql_resolver"), "cli_arg": ("cli_command", "main")}
@@ -132,13 +131,12 @@ def found_paths(edges: DataFrame, symbols: DataFrame, entrypoints: DataFrame, ca
     graph = G.adjacency(edges, kinds, floor, include_cha)
     tagged = F.col("sink_id").isin(*tags) if sink_category else None
     paths, truncated = bounded_paths(own, goals, graph, max_depth, G.pool_size(max_paths), tagged, named, budget)
-    open_ = edges.where(F.col("dst").isNotNull() & F.col("kind").isin(*kinds) & (~usable(floor=floor, include_cha=include_cha) | F.col("via").eqNullSafe("dynamic"))).select(F.col("src").alias("node")).distinct()
+    open_ = G.open_nodes(edges, kinds, floor, include_cha)
     pool = paths.withColumn("category", catalog.value("sinks", "category", F.col("sink_id"))).withColumn("severity", catalog.value("sinks", "severity", F.col("sink_id")))
     pool = pool.withColumn("constant_args", constant_args(F.col("arg_preview"))).drop("arg_preview")
     kind = F.when(F.col("explicit"), "accessor").when(F.col("spec"), "spec").otherwise("handler")
     pool = pool.join(F.broadcast(own.select(F.col("id").alias("__first"), kind.alias("source_kind")).join(paths.select(F.col("nodes")[0].alias("__first")).distinct(), "__first", "left_semi")), F.col("nodes")[0] == F.col("__first"), "left").drop("__first")
-    more = pool.select("edge_ids", F.explode("nodes").alias("node")).join(open_, "node", "left_semi").select("edge_ids").distinct().withColumn("__more", F.lit(True))
-    pool = pool.join(more, "edge_ids", "left").withColumn("may_continue", F.coalesce("__more", F.lit(False))).drop("__more")
+    pool = G.may_continue(pool, open_)
     return G.ranked(pool, max_paths), truncated
 
 

@@ -44,3 +44,19 @@ def test_neighbourhood_leaves_starts_out(spark):
 def test_chase_follows_and_drops_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "name string, target string")
     assert {tuple(r) for r in G.chase(e).collect()} == {("a", "c"), ("b", "c")}
+
+
+def test_reachable_agrees_with_paths(spark):
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    for _ in range(4):
+        rows = [(i, rng.randint(1, 9), rng.randint(1, 9), rng.choice([None, "x"])) for i in range(16)]
+        sinks = [7, 8, 9]
+        for depth, tagged in itertools.product((1, 3), (F.col("sink_id").isNotNull(),)):
+            want = {p[0] for p in paths(spark, rows, range(1, 7), sinks, depth, tagged)}
+            got = G.reachable(ids(spark, *range(1, 7)), ids(spark, *sinks), edges(spark, rows), depth, tagged)
+            assert {r["id"] for r in got.collect()} == want
