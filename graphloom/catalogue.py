@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import patterns as P
 from .operators import catalog as C
+from .operators import entrypoints as EP
 from .operators import frameworks as FW
 from .operators import graph as G
 from .operators import maintenance as M
@@ -621,6 +622,46 @@ SELECT hint_id, coalesce(n.id, f.id, b.dst, m.id) AS symbol_id FROM h LEFT JOIN
 )
 
 
+# Entrypoints by rule
+
+
+def _rule_sql(r: EP.Rule) -> str:
+    """SQL for what one rule tells of all facts of its kind."""
+    call = r.on == "call"
+    text, args = ("callee", "('(' || regexp_replace(args, '^\\(+', ''))") if call else ("text", "text")
+    string = f"CASE WHEN regexp_matches({args}, {_text(EP.STRING)}) THEN regexp_extract({args}, {_text(EP.STRING)}, 1) END"
+    where = [f"language IN ({', '.join(map(_text, r.languages))})", f"regexp_matches({text}, {_text(r.text)})"]
+    where += [] if call else ["kind IN ('function', 'method', 'struct')"]
+    where += [f"regexp_matches(receiver, {_text(r.receiver)})"] if r.receiver else []
+    where += [f"NOT coalesce(regexp_matches(receiver, {_text(r.not_receiver)}), FALSE)"] if r.not_receiver else []
+    where += [f"({string}) IS NOT NULL"] if r.route in ("any", "/") else []
+    where += [f"starts_with({string}, '/')"] if r.route == "/" else []
+    listed = f"list_aggregate(list_transform(regexp_extract_all(regexp_extract({args}, 'methods\\s*=\\s*[\\[(]([^\\])]*)', 1), '[\"'']([A-Za-z]+)[\"'']', 1), lambda x: upper(x)), 'string_agg', ',')"
+    methods = {None: "NULL", "keyword": f"coalesce(nullif({listed}, ''), 'GET')", "group": f"upper(regexp_extract({text}, {_text(r.text)}, 1))", "name": f"upper(regexp_replace({text}, '^(?:add_|do)', ''))", "*": "'*'"}[r.methods]
+    route = f"coalesce({string}, '')" if r.route == "maybe" and call else string if r.route else "NULL"
+    last, given = f"regexp_extract(args, {_text(EP.LAST_NAME)}, 1)", "regexp_extract(args, '(?:view_func\\s*=\\s*|,\\s*)([A-Za-z_]\\w*)\\s*\\)?\\s*$', 1)"
+    handler = {"own": "caller", "none": "NULL", "last": f"CASE WHEN {last} <> '' THEN module || '.' || {last} ELSE caller END", "argument": f"CASE WHEN {given} <> '' THEN module || '.' || {given} END"}[r.handler] if call else "qname"
+    name = ("NULL" if r.kind == "http_route" else f"coalesce({string}, callee)") if call else f"coalesce({string}, name)" if r.kind == "cli_command" else "name"
+    return f"SELECT file_id, line, {_text(r.id)} AS rule, {_text(r.framework)} AS framework, {_text(r.kind)} AS kind, {handler} AS handler, {route} AS route, {methods} AS methods, {name} AS name FROM f WHERE {' AND '.join(where)}"
+
+
+for _on, _facts, _name in (("decorator", "decorators", "n_decorator_rules"), ("call", "registered", "n_call_rules")):
+    _asked(
+        lambda t, on=_on, facts=_facts: EP.hints(t(facts), on),
+        f"WITH f AS ({duckdb_sql('SELECT * FROM {' + _facts + '}')}) " + " UNION ALL ".join(_rule_sql(r) for r in EP.RULES if r.on == _on),
+        _name,
+    )
+
+_SURE = (("flask", 0.94), ("fastapi", 0.94), ("click", 0.7), ("sanic", 0.8))
+_asked(
+    lambda t: EP.best_hints(EP.hints(t("decorators"), "decorator"), t("region").sparkSession.createDataFrame(list(_SURE), "framework string, confidence double")).drop("file_id", "line"),
+    f"""WITH f AS ({duckdb_sql("SELECT * FROM {decorators}")}), h AS ({" UNION ALL ".join(_rule_sql(r) for r in EP.RULES if r.on == "decorator")})
+SELECT rule, h.framework, kind, handler, route, methods, name FROM (SELECT h.*, row_number() OVER (PARTITION BY kind, handler, route, methods ORDER BY coalesce(c.confidence, 0) DESC, CASE WHEN h.framework = 'fastapi' THEN 1 ELSE 0 END DESC, file_id, line, rule) AS rn
+FROM h LEFT JOIN {_values(_SURE, "framework, confidence")} c ON c.framework = h.framework) h WHERE rn = 1""",
+    "k4_best_hints",
+)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best source-to-sink paths."""
     return _QUERIES["r1_ranked_paths"](spark, sf_dir)

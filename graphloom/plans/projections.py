@@ -117,6 +117,26 @@ SELECT r_name || '.NATION_' || CAST(k AS STRING) || '.run' AS caller, 'pool' AS
 FROM {region} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 7 UNION ALL SELECT 12)""",
 }
 
+#: Decorators and registering calls: language, text; language, callee, receiver, arguments.
+DECORATORS = [
+    ("python", '@app.route("/a", methods=["GET", "post"])'), ("python", "@bp.route('/b')"), ("python", "@router.get('/c/:id')"), ("python", '@mock.patch("a.b.c")'), ("python", "@click.command()"), ("python", "@cli.group"),
+    ("python", "@shared_task"), ("python", "@app.task(bind=True)"), ("python", "@app.before_request"), ("python", "@app.middleware('http')"), ("python", "@view_config(route_name='x')"), ("python", "@dramatiq.actor"),
+    ("python", "@dag"), ("python", "@routes.post('/d')"), ("python", "@property"), ("rust", "#[tokio::main]"), ("rust", "#[derive(Debug, Parser)]"), ("rust", '#[get("/e")]'), ("go", "@app.route('/no')"),
+]
+CALLS = [
+    ("javascript", "get", "app", "('/x', show)"), ("typescript", "post", "router", "('/y', (req) => 1)"), ("javascript", "get", "axios", "('/z')"), ("javascript", "get", None, "('/w', h)"), ("javascript", "use", "app", "('/m', mw)"),
+    ("javascript", "on", "socket", "('join', f)"), ("javascript", "handle", "ipcMain", "('open', f)"), ("go", "HandleFunc", "http", '("/h", serve)'), ("go", "Handle", "mux", '("/h", serve)'),
+    ("python", "add_url_rule", "app", '("/u", view_func=show)'), ("python", "add_get", "router", "('/v', show)"), ("python", "add_route", "router", "(x, y)"), ("javascript", "delete", "map", "('key')"), ("go", "HandleFunc", "http", "()"),
+]
+VIEWS |= {
+    "decorators": f"""
+SELECT id, CAST(src AS BIGINT) AS file_id, line, {_case("id", [x for x, _ in DECORATORS])} AS language, {_case("id", [x for _, x in DECORATORS])} AS text,
+       'app.v.f' || CAST(dst AS STRING) AS qname, 'f' || CAST(dst AS STRING) AS name, CASE id % 4 WHEN 0 THEN 'method' WHEN 1 THEN 'class' ELSE 'function' END AS kind FROM {{hops}}""",
+    "registered": f"""
+SELECT id, CAST(src AS BIGINT) AS file_id, line, {_case("id", [c[0] for c in CALLS])} AS language, {_case("id", [c[1] for c in CALLS])} AS callee, {_case("id", [c[2] for c in CALLS])} AS receiver,
+       {_case("id", [c[3] for c in CALLS])} AS args, 'app.v' AS module, 'app.v.setup' AS caller FROM {{hops}}""",
+}
+
 _NAME = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 
 
