@@ -27,8 +27,8 @@ from .sharding import numbered
 SIZE = 2048
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-#: Words that a worker keeps; beyond, it keeps the first quarter.
-KEPT_WORDS = 100_000
+#: Words that a worker keeps; beyond, it keeps the first half.
+KEPT_WORDS = 400_000
 
 
 class Tokens:
@@ -70,7 +70,7 @@ class Tokens:
             raise AssertionError("a word has been parted in another place")
         raw = ids.tobytes()
         if len(self.kept) + len(new) > KEPT_WORDS:  # words met early are the frequent ones
-            self.kept = dict(list(self.kept.items())[: KEPT_WORDS // 4])
+            self.kept = dict(list(self.kept.items())[: KEPT_WORDS // 2])
         self.kept.update(zip(new, (raw[a:b] for a, b in zip((4 * starts).tolist(), [*(4 * starts[1:]).tolist(), len(raw)]))))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
