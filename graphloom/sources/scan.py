@@ -7,6 +7,7 @@ import json
 import re
 import tomllib
 from collections.abc import Iterator, Sequence
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,14 +16,29 @@ from pyspark.sql.types import StringType
 
 #: Language of a file extension.
 EXTENSIONS = {
-    "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "tsx",
-    "go": "go", "java": "java", "rb": "ruby", "rake": "ruby", "cs": "csharp", "php": "php", "rs": "rust", "graphql": "graphql", "gql": "graphql",
+    "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx",
+    "go": "go", "java": "java", "rb": "ruby", "rake": "ruby", "gemspec": "ruby", "cs": "csharp", "php": "php", "phtml": "php", "rs": "rust", "graphql": "graphql", "gql": "graphql",
 }
+#: Languages that are counted but not analysed, by extension.
+COUNTED = {
+    "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "scala": "scala", "sc": "scala", "hs": "haskell", "lhs": "haskell",
+    "ex": "elixir", "exs": "elixir", "erl": "erlang", "hrl": "erlang", "clj": "clojure", "cljs": "clojure", "cljc": "clojure", "ml": "ocaml", "mli": "ocaml", "fs": "fsharp", "fsx": "fsharp", "elm": "elm", "pl": "perl", "pm": "perl",
+    "lua": "lua", "r": "r", "jl": "julia", "dart": "dart", "groovy": "groovy", "gradle": "groovy", "vue": "vue", "svelte": "svelte", "zig": "zig", "nim": "nim", "sol": "solidity", "vala": "vala", "hx": "haxe", "cr": "crystal",
+    "pas": "pascal", "tcl": "tcl", "ps1": "powershell", "psm1": "powershell", "f90": "fortran", "f95": "fortran", "sh": "shell", "bash": "shell", "zsh": "shell", "sql": "sql", "html": "html", "css": "css", "scss": "css", "json": "json",
+    "yaml": "yaml", "yml": "yaml", "toml": "toml", "md": "markdown", "rst": "restructuredtext", "xml": "xml", "tf": "hcl", "proto": "protobuf",
+}
+#: Language of a file name.
+FILE_NAMES = {"Rakefile": "ruby", "Gemfile": "ruby", "Guardfile": "ruby", "Vagrantfile": "ruby", "Jenkinsfile": "groovy", "Dockerfile": "dockerfile", "Makefile": "make", "BUILD": "starlark", "WORKSPACE": "starlark"}
 #: Folders that are never walked, and endings of minified files.
-PRUNED = ("node_modules", "__pycache__", "venv", ".venv", "dist", "build", "target", "vendor", ".tox", ".mypy_cache", ".pytest_cache")
+PRUNED = (
+    ".git", ".hg", ".svn", "node_modules", "bower_components", ".venv", "venv", ".tox", "__pycache__", ".mypy_cache", ".ruff_cache", ".pytest_cache", "site-packages", ".eggs", "vendor", "third_party",
+    "dist", "build", "target", "out", ".next", ".nuxt", ".gradle", ".idea", ".vscode", "Pods", "DerivedData",
+)
 MINIFIED = (".min.js", ".min.css", ".bundle.js", ".map")
 TEST_FOLDERS = ("test", "tests", "spec", "specs", "__tests__", "testdata", "fixtures")
 MAX_BYTES, HEAD_BYTES, MAX_LINE = 2 * 1024 * 1024, 8192, 5000
+#: Scripts above so many bytes are minified if their lines have so many characters on average.
+WIDE_BYTES, WIDE_LINE = 50 * 1024, 250
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -36,18 +52,19 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
 def language_of(path: Column, head: Column) -> Column:
     """By extension, then by file name, then by the first line of a file without extension."""
     name = F.element_at(F.split(path, "/"), -1)
-    by = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])
+    by = F.create_map(*[F.lit(x) for kv in (EXTENSIONS | COUNTED).items() for x in kv])
     extension = F.when(name.contains("."), F.lower(F.element_at(F.split(name, "\\."), -1)))
     shebang = F.regexp_extract(head, "^#!.*?\\b(python|node|ruby|php)", 1)
-    return F.coalesce(F.element_at(by, extension), F.when(name.isin("Rakefile", "Gemfile"), "ruby"), F.when(extension.isNull(), F.element_at(F.create_map(*[F.lit(x) for x in ("python", "python", "node", "javascript", "ruby", "ruby", "php", "php")]), F.when(shebang != "", shebang))))
+    return F.coalesce(F.element_at(by, extension), F.element_at(F.create_map(*[F.lit(x) for kv in FILE_NAMES.items() for x in kv]), name), F.when(extension.isNull(), F.element_at(F.create_map(*[F.lit(x) for x in ("python", "python", "node", "javascript", "ruby", "ruby", "php", "php")]), F.when(shebang != "", shebang))))
 
 
 def skip_reason(path: Column, size: Column, content: Column, language: Column, include_tests: bool = False) -> Column:
-    """Why a file is not analysed: test, too_large, minified, binary; null if it is."""
+    """Why a file is not analysed: test, too_large, minified, binary, unreadable; null if it is."""
     head = F.substring(content, 1, HEAD_BYTES)
     text = F.decode(head, "ISO-8859-1")
-    long_line = F.exists(F.split(text, "\n"), lambda x: F.char_length(x) > MAX_LINE)
-    out = F.when(size > MAX_BYTES, "too_large").when(path.rlike("(?:" + "|".join(map(re.escape, MINIFIED)) + ")$"), "minified").when(F.instr(text, "\0") > 0, "binary").when(language.isin("javascript", "typescript", "tsx") & long_line, "minified")
+    lines = F.split(text, "\n")
+    long_line = F.exists(lines, lambda x: F.char_length(x) > MAX_LINE) | ((size > WIDE_BYTES) & (F.char_length(text) > WIDE_LINE * F.size(lines)))
+    out = F.when(content.isNull(), "unreadable").when(size > MAX_BYTES, "too_large").when(path.rlike("(?:" + "|".join(map(re.escape, MINIFIED)) + ")$"), "minified").when(F.instr(text, "\0") > 0, "binary").when(language.isin("javascript", "typescript", "tsx") & long_line, "minified")
     return out if include_tests else F.when(is_test(path, language), "test").otherwise(out)
 
 
@@ -110,37 +127,73 @@ def walk(spark: SparkSession, root: str, rules: Sequence[tuple[str, bool]] = (),
     return df.select("path", "language", "size_bytes", "mtime", content_hash("content").alias("content_hash"), reason.alias("skip_reason"), F.when(reason.isNull(), F.decode("content", "UTF-8")).alias("content"))
 
 
+def _python_name(spec: str) -> str | None:
+    """The name at the head of a requirement, as indexes compare it."""
+    m = re.match(r"\s*([A-Za-z0-9][\w.-]*)", spec)
+    return m[1].lower().replace("_", "-") if m else None
+
+
+def _pyproject(text: str) -> list[str | None]:
+    t = tomllib.loads(text)
+    project, poetry = t.get("project", {}), t.get("tool", {}).get("poetry", {})
+    specs = [*project.get("dependencies", []), *(d for group in project.get("optional-dependencies", {}).values() for d in group), *poetry.get("dependencies", {})]
+    return [n for n in map(_python_name, specs) if n != "python"]
+
+
+def _json_names(*keys: str):
+    def read(text: str) -> list[str]:
+        t = json.loads(text)
+        return [x for x in (t.get("name"),) if isinstance(x, str)] + [d for k in keys for d in t.get(k, {}) if d != "php" and not d.startswith("ext-")]
+
+    return read
+
+
+def _cargo(text: str) -> list[str]:
+    t = tomllib.loads(text)
+    tables = [t, t.get("workspace", {}), *t.get("target", {}).values()]
+    return [d for x in tables for k in ("dependencies", "dev-dependencies", "build-dependencies") for d in x.get(k, {})]
+
+
+def _maven(text: str) -> list[str]:
+    """group:artifact of the dependencies, wherever they stand; plugins and the project itself are none."""
+    bare = lambda e: e.tag.rpartition("}")[2]
+    made = []
+    for e in ElementTree.fromstring(text).iter():
+        if bare(e) == "dependency":
+            given = {bare(c): (c.text or "").strip() for c in e}
+            if given.get("artifactId"):
+                made.append(f"{given.get('groupId', '')}:{given['artifactId']}")
+    return made
+
+
+def _all(pattern: str, lower: bool = False):
+    return lambda text: [m.lower() if lower else m for m in re.findall(pattern, text, re.M)]
+
+
+#: File name (a regex), ecosystem, reader.
+_READERS = (
+    (r"requirements.*\.txt", "python", lambda text: [_python_name(line) for line in text.splitlines() if not line.lstrip().startswith(("#", "-"))]),
+    (r"pyproject\.toml", "python", _pyproject),
+    (r"package\.json", "javascript", _json_names("dependencies", "devDependencies", "peerDependencies")),
+    (r"composer\.json", "php", _json_names("require", "require-dev")),
+    (r"go\.mod", "go", _all(r"^\s*(?:require\s+)?([\w.-]+\.[\w.-]+/\S+)\s+v\S+\s*(?:$|//(?!\s*indirect))")),
+    (r"Cargo\.toml", "rust", _cargo),
+    (r"Gemfile", "ruby", _all(r"^\s*gem\s+[\"']([^\"']+)")),
+    (r"pom\.xml", "java", _maven),
+    (r"build\.gradle.*", "java", _all(r"[\"']([\w.-]+:[\w.-]+)(?::[^\"']*)?[\"']")),
+    (r".*\.csproj", "csharp", _all(r"<(?:PackageReference|Reference)\s+Include=\"([^\",]+)", True)),
+    (r"packages\.config", "csharp", _all(r"<package\s+id=\"([^\"]+)", True)),
+)
+
+
 def dependencies(name: str, text: str) -> list[tuple[str, str]]:
-    """(ecosystem, dependency) pairs of a manifest, by its file name."""
-    try:
-        if re.fullmatch(r"requirements.*\.txt", name):
-            return [("python", m[1].lower()) for line in text.splitlines() if (m := re.match(r"\s*([A-Za-z0-9][\w.-]*)", line))]
-        if name == "pyproject.toml":
-            t = tomllib.loads(text)
-            listed = [*t.get("project", {}).get("dependencies", []), *(d for ds in t.get("project", {}).get("optional-dependencies", {}).values() for d in ds), *t.get("tool", {}).get("poetry", {}).get("dependencies", {})]
-            return [("python", m[0].lower()) for d in listed if (m := re.match(r"[A-Za-z0-9][\w.-]*", d)) and m[0] != "python"]
-        if name in ("package.json", "composer.json"):
-            t = json.loads(text)
-            keys = ("dependencies", "devDependencies", "peerDependencies") if name == "package.json" else ("require", "require-dev")
-            own = [t["name"]] if isinstance(t.get("name"), str) else []
-            return [("javascript" if name == "package.json" else "php", d) for d in [*own, *(d for k in keys for d in t.get(k, {}))]]
-        if name == "go.mod":
-            return [("go", m) for m in re.findall(r"^\s*(?:require\s+)?([\w.-]+\.[\w.-]+/\S+)\s+v\S+", text, re.M)]
-        if name == "Cargo.toml":
-            t = tomllib.loads(text)
-            return [("rust", d) for k in ("dependencies", "dev-dependencies", "build-dependencies") for d in t.get(k, {})]
-        if name == "Gemfile":
-            return [("ruby", m) for m in re.findall(r"^\s*gem\s+[\"']([^\"']+)", text, re.M)]
-        if name == "pom.xml":
-            return [("java", m) for m in re.findall(r"<artifactId>\s*([^<\s]+)", text)]
-        if name.startswith("build.gradle"):
-            return [("java", m) for m in re.findall(r"[\"']([\w.-]+:[\w.-]+)(?::[^\"']*)?[\"']", text)]
-        if name.endswith(".csproj"):
-            return [("csharp", m) for m in re.findall(r"PackageReference\s+Include=\"([^\"]+)", text)]
-        if name == "packages.config":
-            return [("csharp", m) for m in re.findall(r"<package\s+id=\"([^\"]+)", text)]
-    except (ValueError, AttributeError, TypeError):
-        return []
+    """(ecosystem, dependency) pairs of a manifest, by its file name; a text that cannot be read has none."""
+    for pattern, ecosystem, read in _READERS:
+        if re.fullmatch(pattern, name):
+            try:
+                return [(ecosystem, d) for d in read(text) if d]
+            except (ValueError, AttributeError, TypeError, ElementTree.ParseError):
+                return []
     return []
 
 

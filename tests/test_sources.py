@@ -40,6 +40,35 @@ def test_manifests_and_configs(spark, tree):
     assert scan.dependencies("package.json", "{bad") == []
 
 
+@pytest.mark.parametrize(
+    ("name", "text", "want"),
+    [
+        ("requirements-dev.txt", "Typing_Extensions>=4\n-r x.txt\n# no\nflask[async]", ["typing-extensions", "flask"]),
+        ("pyproject.toml", '[project]\ndependencies = ["A_b>1"]\n[project.optional-dependencies]\nx = ["c"]\n[tool.poetry.dependencies]\npython = "3"\nd = "1"', ["a-b", "c", "d"]),
+        ("package.json", '{"name": "me", "dependencies": {"a": "1"}, "peerDependencies": {"b": "1"}}', ["me", "a", "b"]),
+        ("composer.json", '{"require": {"php": "8", "ext-json": "*", "a/b": "1"}}', ["a/b"]),
+        ("go.mod", "module x\nrequire (\n\tgithub.com/a/b v1.0.0\n\tgithub.com/c/d v1 // indirect\n)\nrequire golang.org/x/e v2", ["github.com/a/b", "golang.org/x/e"]),
+        ("pom.xml", "<project xmlns='m'><artifactId>me</artifactId><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId></dependency></dependencies><build><plugins><plugin><artifactId>p</artifactId></plugin></plugins></build></project>", ["g:a"]),
+        ("pom.xml", "<project", []),
+        ("Cargo.toml", '[dependencies]\na = "1"\n[workspace.dependencies]\nb = "1"\n[target.\'cfg(unix)\'.dependencies]\nc = "1"', ["a", "b", "c"]),
+        ("My.csproj", '<PackageReference Include="Foo.Bar" /><Reference Include="Baz, Version=1" />', ["foo.bar", "baz"]),
+    ],
+)
+def test_manifest_formats(name, text, want):
+    assert [d for _, d in scan.dependencies(name, text)] == want
+
+
+def test_gates_and_languages(spark):
+    from pyspark.sql import functions as F
+
+    wide = ("x" * 300 + "\n") * 200
+    rows = [("a.js", wide), ("a.py", wide), ("b.mts", "x"), ("c.kt", "x"), ("d.gemspec", "x"), ("third_party/e.py", "x"), ("f.py", None)]
+    df = spark.createDataFrame([(p, len(t or ""), None if t is None else bytearray(t.encode())) for p, t in rows], "path string, size bigint, content binary")
+    language = scan.language_of(F.col("path"), F.lit(""))
+    got = {r[0]: r[1:] for r in df.select("path", language, scan.skip_reason(F.col("path"), F.col("size"), F.col("content"), language), scan.pruned(F.col("path"))).collect()}
+    assert got == {"a.js": ("javascript", "minified", False), "a.py": ("python", None, False), "b.mts": ("typescript", None, False), "c.kt": ("kotlin", None, False), "d.gemspec": ("ruby", None, False), "third_party/e.py": ("python", None, True), "f.py": ("python", "unreadable", False)}
+
+
 def test_extract(spark):
     code = 'from .base import Base\nimport os.path as p\nLIMIT = 3\nclass A(Base):\n    """doc"""\n    n: int = 0\n    def go(self, f):\n        run(f, 1)\n        return self.go(f)\n'
     row = extract_python.extract(spark.createDataFrame([("pkg/m.py", code), ("bad.py", "def (")], "path string, content string")).where("parse_ok").head()
