@@ -173,9 +173,9 @@ def q_g3_noisy_or(t):
     return R.noisy_or(e, "framework", "w")
 
 
-@_query("SELECT name, min(id) AS id FROM {symbols} WHERE kind IN ('method', 'function') GROUP BY name HAVING count(*) = 1")
+@_query("SELECT name, language, min(id) AS id FROM {defs} WHERE kind IN ('method', 'function') GROUP BY name, language HAVING count(*) = 1")
 def q_g9_unique_by_name(t):
-    return R.unique_by_name(t("symbols"), ["method", "function"])
+    return R.unique_by_name(t("defs"), ["method", "function"])
 
 
 @_query("""SELECT f.repo_id, count(*) AS files, count(DISTINCT language) AS languages, CAST(sum(size_bytes) AS BIGINT) AS bytes, count(skip_reason) AS skipped FROM {files} f GROUP BY 1""")
@@ -207,9 +207,11 @@ def q_g5_coverage(t):
     return R.coverage(t("part").select(F.col("p_brand").alias("prefix"), F.when(F.col("p_size") > 20, "high").alias("severity")))
 
 
-@_query("SELECT f.id, coalesce(m.e, 1) AS end_line FROM {files} f LEFT JOIN (SELECT file_id, max(end_line) AS e FROM {symbols} GROUP BY 1) m ON m.file_id = f.id")
+@_query("""SELECT f.id, coalesce(m.e, 1) AS end_line FROM {files} f LEFT JOIN (SELECT file_id, max(e) AS e FROM (SELECT file_id, end_line AS e FROM {symbols}
+UNION ALL SELECT src % 60, line FROM {hops} UNION ALL SELECT file_id, ordinal + 1 FROM {brings}) GROUP BY 1) m ON m.file_id = f.id""")
 def q_g8_last_lines(t):
-    return R.last_lines(t("symbols"), t("files"))
+    refs = t("hops").select((F.col("src") % 60).alias("file_id"), F.col("line").alias("end_line"))
+    return R.last_lines(t("files"), t("symbols"), refs, t("brings").select("file_id", (F.col("ordinal") + 1).alias("end_line")))
 
 
 @_query("SELECT kind, count(*) AS n FROM {symbols} GROUP BY 1")
@@ -420,12 +422,13 @@ def q_p19_ancestors(t):
     return G.ancestors(t("symbols").select("id", F.col("parent_id").alias("parent")))
 
 
-@_query("""WITH m AS (SELECT c_custkey AS id, c_mktsegment || CAST(c_custkey % 60 AS STRING) AS name, c_nationkey AS owner, n_regionkey FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey),
-s AS (SELECT * FROM m WHERE name IN (SELECT name FROM m GROUP BY name HAVING count(*) BETWEEN 2 AND 64)),
-k AS (SELECT DISTINCT a.name, a.id FROM s a JOIN s b ON a.name = b.name AND a.id <> b.id AND a.n_regionkey = b.n_regionkey)
-SELECT name, id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS rn FROM k) WHERE rn <= 8""")
+@_query("""WITH m AS (SELECT c_custkey AS id, c_mktsegment || CAST(c_custkey % 60 AS STRING) AS name, CASE WHEN c_custkey % 7 < 3 THEN 'go' ELSE 'java' END AS language, c_nationkey AS owner, n_regionkey FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey),
+s AS (SELECT * FROM m WHERE (name, language) IN (SELECT name, language FROM m GROUP BY name, language HAVING count(*) BETWEEN 2 AND 64)),
+k AS (SELECT DISTINCT a.name, a.language, a.id FROM s a JOIN s b ON a.name = b.name AND a.language = b.language AND a.id <> b.id AND a.n_regionkey = b.n_regionkey)
+SELECT name, language, id FROM (SELECT *, row_number() OVER (PARTITION BY name, language ORDER BY id) AS rn FROM k) WHERE rn <= 8""")
 def q_p20_hierarchy_candidates(t):
-    methods = t("customer").select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", (F.col("c_custkey") % 60).cast("string")).alias("name"), F.col("c_nationkey").alias("owner"))
+    language = F.when(F.col("c_custkey") % 7 < 3, "go").otherwise("java")
+    methods = t("customer").select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", (F.col("c_custkey") % 60).cast("string")).alias("name"), language.alias("language"), F.col("c_nationkey").alias("owner"))
     closure = G.ancestors(t("nation").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") + 1000).alias("parent")))
     return G.hierarchy_candidates(methods, closure)
 

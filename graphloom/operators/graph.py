@@ -179,19 +179,20 @@ def chase(exports: DataFrame, hops: int = 16) -> DataFrame:
 
 
 def hierarchy_candidates(methods: DataFrame, closure: DataFrame, least: int = 2, most: int = 64, cap: int = 8) -> DataFrame:
-    """(name, id): methods of one name whose owners are related, ``cap`` by id.
+    """(name, language, id): methods of one name and language whose owners are related, ``cap`` by id.
 
-    ``methods`` has id, name, owner; ``closure`` is :func:`ancestors` of owners.
-    Two owners are related if their ancestors, themselves included, meet.
+    ``methods`` has id, name, language, owner; ``closure`` is :func:`ancestors`
+    of owners. Two owners are related if their ancestors, themselves included, meet.
     """
-    sizes = methods.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(least, most)).select("name")
-    own = methods.join(sizes, "name")
-    line = own.select("name", "id", F.col("owner").alias("top")).unionByName(own.join(closure.select(F.col("id").alias("owner"), F.col("ancestor").alias("top")), "owner").select("name", "id", "top"))
-    shared = line.distinct().groupBy("name", "top").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1)  # at most ``most`` ids
-    kept = shared.select("name", F.explode("ids").alias("id")).distinct()
+    key = ["name", "language"]
+    sizes = methods.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(least, most)).select(*key)
+    own = methods.join(sizes, key)
+    line = own.select(*key, "id", F.col("owner").alias("top")).unionByName(own.join(closure.select(F.col("id").alias("owner"), F.col("ancestor").alias("top")), "owner").select(*key, "id", "top"))
+    shared = line.distinct().groupBy(*key, "top").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1)  # at most ``most`` ids
+    kept = shared.select(*key, F.explode("ids").alias("id")).distinct()
     from .relational import first_of_each
 
-    return first_of_each(kept, ["name"], [F.col("id")], cap)
+    return first_of_each(kept, key, [F.col("id")], cap)
 
 
 def source_ids(edges: DataFrame, entrypoints: DataFrame, spec: DataFrame, source_ids_: list[str], kinds: list[str]) -> DataFrame:

@@ -110,8 +110,8 @@ def noisy_or(signals: DataFrame, key: str, weight: str, least: float = 0.5) -> D
 
 
 def unique_by_name(symbols_: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    """(name, id) of symbols of the kinds whose name is theirs alone."""
-    return symbols_.where(F.col("kind").isin(*kinds)).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
+    """(name, language, id) of symbols of the kinds whose name is theirs alone in their language."""
+    return symbols_.where(F.col("kind").isin(*kinds)).groupBy("name", "language").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
 
 
 def first_match(callees: DataFrame, catalog: DataFrame, qname: str = "dst_qname", preview: str | None = None) -> DataFrame:
@@ -189,9 +189,13 @@ def evidence(signals: DataFrame, key: str, text: str, order: str) -> DataFrame:
     return fired.select(key, F.transform("e", lambda x: x[text]).alias("evidence"))
 
 
-def last_lines(spans: DataFrame, modules: DataFrame) -> DataFrame:
-    """Last line of each module (id), from all spans of it (file_id, end_line); 1 without any."""
-    ends = spans.where(F.col("file_id").isNotNull()).groupBy(F.col("file_id").alias("id")).agg(F.max("end_line").alias("end_line"))
+def last_lines(modules: DataFrame, *spans: DataFrame) -> DataFrame:
+    """Last line of each module (id), from all its spans (file_id, end_line) of symbols, references and imports; 1 without any."""
+    ends = None
+    for x in spans:
+        own = x.where(F.col("file_id").isNotNull()).groupBy(F.col("file_id").alias("id")).agg(F.max("end_line").cast("int").alias("end_line"))
+        ends = own if ends is None else ends.unionByName(own)
+    ends = ends.groupBy("id").agg(F.max("end_line").alias("end_line"))
     return modules.select("id").join(ends, "id", "left").select("id", F.coalesce("end_line", F.lit(1)).alias("end_line"))
 
 
