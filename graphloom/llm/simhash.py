@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ BITS, RADIUS, WORDS = 64, 4, 4
 STAGE_WORDS, LIKE, STAGE_RADIUS, FAR = 5, 0.8, 9, 14
 #: A bucket of more rows is covered again, by so many levels at most; then it is dealt into parts.
 BUCKET, LEVELS = 4096, 4
-#: Cells of a tally of shingles; one table of how many serves to find centres; members of a block's part.
-CELLS, CENTRE_TABLES, BLOCK = 128, 6, 1024
+#: Cells of a tally of shingles; one table of how many serves to find centres; members of a block's part; shingles of a clump's part.
+CELLS, CENTRE_TABLES, BLOCK, CLUMP = 128, 6, 1024, 1 << 18
 #: Pairs for each node of a bucket, above which tallies are looked at first.
 DENSE = 2
 #: Frequent shingles that are known to every executor.
@@ -117,9 +117,10 @@ def _keys(rows: DataFrame, masks: tuple[int, ...], seed: int) -> DataFrame:
     return cut.select(*cols, F.xxhash64(*before, "__t.v", F.col("__fp").bitwiseAND(F.col("__t.m"))).alias("key"))
 
 
-def dealt(rows: DataFrame, most: int) -> DataFrame:
-    """``rows`` (key, __node and others) with buckets of more than ``most`` dealt into parts, every two of which meet under a key of their own."""
-    parts = reliable(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).alias("__parts")).where("__parts > 1"))
+def dealt(rows: DataFrame, most: int, weight: str | None = None) -> DataFrame:
+    """``rows`` (key, __node and others) with buckets of more than ``most`` (rows, or sum of ``weight``) dealt into parts, every two of which meet under a key of their own."""
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    parts = reliable(rows.groupBy("key").agg(F.ceil(size / most).alias("__parts")).where("__parts > 1"))
     n = parts.limit(BROADCAST_ROWS + 1).count()
     if not n:
         return rows
@@ -195,6 +196,14 @@ def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
+def _stars(node: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    """(src, dst): for every node but the least of its component, that one."""
+    least = node.copy()
+    np.minimum.at(least, root, node)
+    own = np.flatnonzero(least[root] != node)
+    return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(least[root][own])], ["src", "dst"])
+
+
 def _forest(radius: int):
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, fp, node in _by_bucket(batches, ("__fp", "__node")):
@@ -207,10 +216,7 @@ def _forest(radius: int):
                     root, held, n = _joined(root, *map(np.concatenate, zip(*held))), [], 0
             if held:
                 root = _joined(root, *map(np.concatenate, zip(*held)))
-            least = node.copy()
-            np.minimum.at(least, root, node)
-            own = np.flatnonzero(least[root] != node)
-            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(least[root][own])], ["src", "dst"])
+            yield _stars(node, root)
 
     return forest
 
@@ -421,17 +427,22 @@ def _sparse_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([own, own], ["src", "dst"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's nodes within FAR bits, not of one group, that may be alike."""
+def _clumped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest in each bucket over its nodes within FAR bits, not of one group, that may be alike: a star for each component, not its pairs."""
     for key, fp, node, group, n, *tally in _by_bucket(batches, ("__fp", "__node", "group", "__n", *_TALLY)):
-        tally = np.stack(tally, 1)
+        tally, root = np.stack(tally, 1), np.arange(len(key))
+        held, many = [], 0
         for a, b in _near(key, fp.view(np.uint64), FAR):
-            other = group[a] != group[b]
+            other = (group[a] != group[b]) & (root[a] != root[b])
             a, b = a[other], b[other]
             may = may_be_alike(n[a], n[b], tally[a], tally[b])
-            a, b = node[a[may]], node[b[may]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["src", "dst"])
+            held.append((a[may], b[may]))
+            many += len(held[-1][0])
+            if many > len(key):
+                root, held, many = _joined(root, *map(np.concatenate, zip(*held))), [], 0
+        if held:
+            root = _joined(root, *map(np.concatenate, zip(*held)))
+        yield _stars(node, root)
 
 
 def cells_of(own: np.ndarray) -> np.ndarray:
@@ -533,6 +544,77 @@ def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return _met(_met(reliable(pairs), texts, False), texts, True)
 
 
+def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(b.num_rows):  # a row at a time, as texts can be long
+            own = shingle_set(b.column("__text")[at].as_py() or b"").tobytes()
+            yield pa.RecordBatch.from_arrays([b.column("__row").slice(at, 1), b.column("to").slice(at, 1), pa.array([own], pa.binary())], ["__row", "to", "shingles"])
+
+
+def _linked(node: np.ndarray, group: np.ndarray, fp: np.ndarray, tally: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+    """The components of a clump's texts of which two within FAR bits are alike by all shingles, as stars; what is joined already is not compared again."""
+    n = np.array([len(x) for x in sets])
+    ends = np.cumsum(n)
+    every, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = [codes[e - k : e] for e, k in zip(ends.tolist(), n.tolist())]
+    first, root = np.unique(group, return_index=True, return_inverse=True)[1:]
+    root, mark = first[root], np.zeros(len(every), bool)
+    for i in range(len(node) - 1):
+        later = np.arange(i + 1, len(node))
+        later = later[(root[later] != root[i]) & (np.bitwise_count(fp[later] ^ fp[i]) <= FAR)]
+        at = np.full(len(later), i)
+        later = later[may_be_alike(n[at], n[later], tally[at], tally[later])]
+        if not len(later):
+            continue
+        mark[codes[i]] = True
+        both = np.array([np.count_nonzero(mark[codes[j]]) for j in later.tolist()])
+        mark[codes[i]] = False
+        good = later[both >= LIKE * (n[i] + n[later] - both) - 1e-9]
+        if len(good):
+            root = _joined(root, np.full(len(good), i), good)
+    return _stars(node, root)
+
+
+def _linked_in_clumps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, rows = None, []
+    for b in batches:
+        shingles = b.column("shingles")
+        for at, row in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "__node", "group", "__fp", *_TALLY)))):
+            if row[0] != key and rows:
+                yield _of_rows(rows)
+                rows = []
+            key = row[0]
+            rows.append((row[1:], np.frombuffer(shingles[at].as_buffer(), np.uint64).copy()))
+    if rows:
+        yield _of_rows(rows)
+
+
+def _of_rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = np.array([r[0] for r in rows], np.int64)
+    return _linked(cols[:, 0], cols[:, 1], cols[:, 2].copy().view(np.uint64), np.ascontiguousarray(cols[:, 3:]), [r[1] for r in rows])
+
+
+def links_in_clumps(forest: DataFrame, held: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """(src, dst): a forest of the links by all shingles between those of ``held`` that ``forest`` joins.
+
+    Two texts that may be alike are in one clump, a component of ``forest``. Each
+    text's shingles are sent there once, and all pairs are compared in place, so
+    that rows go with the texts and not with their pairs; a clump of more than
+    ``most`` shingles is dealt into parts of which every two meet.
+    """
+    ends = components(forest)
+    clump = reliable(ends.select(F.col("src").alias("__node"), F.col("dst").alias("key")).unionByName(ends.select(F.col("dst").alias("__node"), F.col("dst").alias("key")).distinct()))
+    n = clump.count()
+    own = reliable(held.join(few(clump, n), "__node").select("key", *held.columns))
+    row = F.struct(*held.columns)
+    to = reliable(dealt(own, most, "__n").groupBy("__node").agg(F.first(row).alias("__row"), F.collect_list("key").alias("to")))
+    arrow_batches(texts.sparkSession)
+    kind = to.schema["__row"].dataType.simpleString()
+    sets = texts.join(few(to, n), "__node").select("__row", "__text", "to").mapInArrow(_with_shingles, f"__row {kind}, to array<bigint>, shingles binary")
+    rows = sets.select(F.explode("to").alias("key"), "__row.*", "shingles").repartition("key").sortWithinPartitions("key")
+    return reliable(rows.mapInArrow(_linked_in_clumps, "src bigint, dst bigint").distinct())
+
+
 def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t in b.column("__text").to_pylist():
@@ -586,7 +668,8 @@ def near_copies(docs: DataFrame, most: int = BUCKET) -> tuple[DataFrame, DataFra
     First each text is held against a centre near it, found in a few of the
     tables, which joins the groups of many copies; then against all others
     in its buckets that are not of its group; where most of a bucket are near each
-    other, tallies are looked at before pairs are made. Texts of buckets with more
+    other, no pairs are made: texts whose tallies allow it form clumps, in which
+    all are compared (:func:`links_in_clumps`). Texts of buckets with more
     than ``most`` of them, of several groups, meet by shingles that they must
     have in common (:func:`shingle_buckets`).
     """
@@ -609,13 +692,15 @@ def near_copies(docs: DataFrame, most: int = BUCKET) -> tuple[DataFrame, DataFra
     met, rest = buckets(held.select("__fp", "__node", "group", "__n"), STAGE_RADIUS, most, 1)
     found = reliable(sorted_buckets(met).mapInArrow(_sparse_candidates, pair).distinct())
     pairs, crowded = found.where("src <> dst"), found.where("src = dst").select(F.col("src").alias("__node"))
+    links, dense = stars.unionByName(alike(pairs, texts)), []
     if crowded.limit(1).count():
         again = buckets(held.join(few(crowded), "__node").select(held.columns), STAGE_RADIUS, most, 1)[0]  # its larger buckets are among those of rest
-        pairs = pairs.unionByName(sorted_buckets(again).mapInArrow(_candidates, pair))
+        dense.append(sorted_buckets(again).mapInArrow(_clumped, pair))
     if rest is not None:
-        pairs = pairs.unionByName(sorted_buckets(shingle_buckets(held, rest.select("__node").distinct(), texts, most)).mapInArrow(_candidates, pair))
-    more = alike(pairs.distinct(), texts)
-    return nodes.select("__node"), components(stars.unionByName(more))
+        dense.append(sorted_buckets(shingle_buckets(held, rest.select("__node").distinct(), texts, most)).mapInArrow(_clumped, pair))
+    if dense:
+        links = links.unionByName(links_in_clumps(reduce(DataFrame.unionByName, dense), held, texts, CLUMP))
+    return nodes.select("__node"), components(links)
 
 
 def keep_firsts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

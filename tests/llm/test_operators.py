@@ -660,6 +660,25 @@ def test_near_copies_in_a_hot_set(spark):
     assert 60 <= len(want) < 120
 
 
+@pytest.mark.parametrize("most", [simhash.BUCKET, 16])
+def test_rows_of_a_cluster_go_with_its_texts_not_its_pairs(spark, monkeypatch, most):
+    """Variants of one text, most of them just too unlike each other: no row for each pair, yet every link."""
+    rng, own, texts = random.Random(4), words(400, 3).split(), {}
+    for i in range(160):
+        new = texts[i - 1].split() if i % 8 == 7 else list(own)
+        for _ in range(2 if i % 8 == 7 else 8):
+            new[rng.randrange(len(new))] = words(1, rng.random())
+        texts[i] = " ".join(new)
+    made, plain, clumped = [], simhash.alike, simhash.links_in_clumps
+    monkeypatch.setattr(simhash, "alike", lambda pairs, body: made.append(pairs.count()) or plain(pairs, body))
+    monkeypatch.setattr(simhash, "links_in_clumps", lambda forest, *rest: made.append(forest.distinct().count()) or clumped(forest, *rest))
+    monkeypatch.setattr(simhash, "CLUMP", 20_000)  # dealt into parts
+    nodes, ends = simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3), most)
+    want = firsts_by_shingles(texts)
+    assert len(want) == 140 and {r[0] for r in nodes.collect()} - {r["src"] for r in ends.collect()} == want
+    assert most == 16 or max(made) < 20 * len(texts)  # buckets dealt into parts of 16 make more, by their number of parts
+
+
 def test_long_near_copies_are_compared_whole(spark):
     """Pairs of long texts just above and just below 0.8: none is decided by a sample."""
     rng, texts = random.Random(1), {}
