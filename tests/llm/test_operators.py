@@ -413,6 +413,16 @@ def test_urls(spark):
     assert [r["verdict"] for r in url_filter.filter_urls(clash, seen).collect()] == ["block"] * 2
 
 
+def test_rules_say_what_the_contract_says(spark, sf):
+    """Each rule's word, and the rows that a shorter and a longer one fit."""
+    assert dict(map(reversed, url_filter.RULES)) == {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    rows = [(1, "http://a.com/en/1"), (2, "http://example.com/en/77"), (3, "http://bad.net/de/1"), (4, "http://example.net/de/8"), (5, "http://x.org/es/"), (6, "http://example.net/de/7"), (7, "http://bad.net/en/")]
+    seen = spark.createDataFrame([("bad.net", 1)] * 60 + [("good.io", 0)] * 60, "host string, bad int")
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"), seen).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "allow", 7: "block"}
+    same_as_sql(spark, url_filter.op10_host_reputation, url_filter.ORACLES["op10_host_reputation"], sf)
+
+
 def test_hosts_without_outcomes_follow_their_domain(spark):
     seen = spark.createDataFrame([(f"h{i}.bad.io", 1) for i in range(60)] + [(f"h{i}.good.com", 0) for i in range(60)], "host string, bad int")
     pages = spark.createDataFrame([(1, "http://new.bad.io/"), (2, "http://new.good.com/x"), (3, "http://other.io/"), (4, "http://10.1.2.3/")], "page_id bigint, url string")
