@@ -45,7 +45,7 @@ def most_rows(df):
 def crowd(spark, n):
     """``n`` points and ``n`` spans of one file: all pairs meet."""
     ids = spark.range(n)
-    return ids.selectExpr("id", "1L AS file_id", "CAST(5 + id % 3 AS INT) AS line"), ids.selectExpr("id", "1L AS file_id", "CAST(1 + id % 2 AS INT) AS start_line", "CAST(7 + id % 2 AS INT) AS end_line")
+    return ids.selectExpr("id", "id % 1 + 1 AS file_id", "CAST(5 + id % 3 AS INT) AS line"), ids.selectExpr("id", "id % 1 + 1 AS file_id", "CAST(1 + id % 2 AS INT) AS start_line", "CAST(7 + id % 2 AS INT) AS end_line")
 
 
 def test_smallest_enclosing_is_brute_force(made, spark):
@@ -59,3 +59,37 @@ def test_smallest_enclosing_is_brute_force(made, spark):
 
 def test_smallest_enclosing_makes_no_pairs(spark):
     assert most_rows(R.smallest_enclosing(*crowd(spark, 2000))) <= 4 * 2000
+
+
+def nodes_of(df):
+    """All operators of a query's plan, after it ran."""
+    df._jdf.queryExecution().executedPlan().executeCollect()
+    plan = [df._jdf.queryExecution().executedPlan()]
+    while plan:
+        at = plan.pop()
+        kind = at.getClass().getSimpleName()
+        yield kind, at
+        plan += [at.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [at.plan()] if kind.endswith("QueryStageExec") else []
+        plan += [at.children().apply(i) for i in range(at.children().size())]
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+@pytest.mark.parametrize("listed", [1, 3, 1024])
+def test_contained_is_brute_force(made, monkeypatch, inclusive, listed):
+    monkeypatch.setattr(R, "LISTED", listed, raising=False)
+    spans, points, s, p = made
+    p = p.unionByName(p.where("line = 7"))  # whole rows twice
+    twice = points + [q for q in points if q[2] == 7]
+    want = sorted(repr((*q, x[0], x[2], x[3])) for q, x in inside(spans, twice) if inclusive or q[2] > x[2])
+    got = R.contained(p, s, inclusive)
+    assert got.columns == ["id", "file_id", "line", "span_id", "start_line", "end_line"] and got.schema["start_line"].dataType == s.schema["start_line"].dataType
+    assert sorted(repr(tuple(r)) for r in got.collect()) == want
+    assert R.contained(p, s.limit(0)).count() == R.contained(p.limit(0), s).count() == 0
+
+
+def test_contained_meets_by_lines_and_lists(spark):
+    """No join by the file alone; every join makes rows of lists, which only the last step spells out as pairs."""
+    p, s = crowd(spark, 3000)
+    joins = [(at.leftKeys().size(), at.metrics().apply("numOutputRows").value()) for kind, at in nodes_of(R.contained(p, s)) if kind.endswith("JoinExec") and "NestedLoop" not in kind]
+    assert joins and all(keys > 1 and rows <= 2 * 3000 for keys, rows in joins)
+    assert R.contained(p, s).count() == 3000 * 3000
