@@ -45,7 +45,7 @@ def most_rows(df):
 def crowd(spark, n):
     """``n`` points and ``n`` spans of one file: all pairs meet."""
     ids = spark.range(n)
-    return ids.selectExpr("id", "id % 1 + 1 AS file_id", "CAST(5 + id % 3 AS INT) AS line"), ids.selectExpr("id", "id % 1 + 1 AS file_id", "CAST(1 + id % 2 AS INT) AS start_line", "CAST(7 + id % 2 AS INT) AS end_line")
+    return ids.selectExpr("id", "id % 1 + 1 AS file_id", "CAST(7 + id % 3 AS INT) AS line"), ids.selectExpr("id", "id % 1 + 1 AS file_id", "CAST(1 + id % 2 AS INT) AS start_line", "CAST(9 + id % 2 AS INT) AS end_line")
 
 
 def test_smallest_enclosing_is_brute_force(made, spark):
@@ -93,3 +93,18 @@ def test_contained_meets_by_lines_and_lists(spark):
     joins = [(at.leftKeys().size(), at.metrics().apply("numOutputRows").value()) for kind, at in nodes_of(R.contained(p, s)) if kind.endswith("JoinExec") and "NestedLoop" not in kind]
     assert joins and all(keys > 1 and rows <= 2 * 3000 for keys, rows in joins)
     assert R.contained(p, s).count() == 3000 * 3000
+
+
+@pytest.mark.parametrize("gap", [-1, 0, 2, 40, 1000])
+def test_nearest_preceding_is_brute_force(made, gap):
+    spans, points, s, p = made
+    want = {}
+    for q in points:
+        for x in spans:
+            if None not in (*q[1:], x[1], x[3]) and x[1] == q[1] and 0 <= q[2] - x[3] <= gap:
+                want[q[0]] = max(want.get(q[0], (-(2**40), 0)), (x[3], x[0]))
+    assert {tuple(r) for r in R.nearest_preceding(p, s, "id", gap).collect()} == {(k, v[1]) for k, v in want.items()}
+
+
+def test_nearest_preceding_makes_no_pairs(spark):
+    assert most_rows(R.nearest_preceding(*crowd(spark, 2000), "id", 2)) <= 4 * 2000
