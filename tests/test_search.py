@@ -63,6 +63,27 @@ def test_a_spent_budget_is_told(tables):
     assert len(nodes(S.search(*tables(rows), source="app.start", sink_category="command_exec", max_paths=70))) == 64
 
 
+def test_steps_do_not_pass_through_one_task(spark, tables, monkeypatch):
+    """What is kept of a level stays in many partitions; a spent budget gives the best ends of its level."""
+    rows = [call(i, 1, 100 + i) for i in range(200)] + [call(1000 + i, 100 + i, 3, sink="py.command-exec.os") for i in range(200)]
+    kept, keep = [], S.reliable
+    monkeypatch.setattr(S, "reliable", lambda df: kept.append(keep(df)) or kept[-1])
+    look = lambda **o: S.search(*tables(rows), source="app.start", sink_category="command_exec", strict=True, **o)
+    monkeypatch.setattr(S.G, "pool_size", lambda n: n)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        whole = look(max_paths=3)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [(1, 100, 3), (1, 101, 3), (1, 102, 3)]
+    steps = [df for df in kept if "fits" in df.columns and "edge_ids" in df.columns]
+    assert nodes(whole) == want and not whole.truncated and len(steps) == 2 and all(df.rdd.getNumPartitions() > 1 for df in steps)
+    cut = look(max_paths=3, budget=201)
+    assert cut.truncated and nodes(cut) == want
+
+
 def test_handlers_are_sources_unless_explicit_ones_are_asked_for(tables):
     rows = [call(1, 4, 3, sink="py.command-exec.os")]
     found = S.search(*tables(rows), source_category="cli_arg", sink_category="all")
